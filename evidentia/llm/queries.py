@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op2_rules, op3_jaccard, op6_quality, op7_language
+from . import op1_lines, op2_rules, op3_jaccard, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op1_lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +28,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_kdtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,6 +40,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op9_substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.array_join("ids", ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: Words of a text; the lower-casing of A-Z alone.
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,7 +92,29 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) m USING (doc_id)
 """
 
+OP5_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+gone AS (SELECT win.doc_id, i FROM win JOIN (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)) USING (g) WHERE win.doc_id > m),
+cov AS (SELECT doc_id, list(DISTINCT i + k) AS c FROM gone, (SELECT unnest(range(13)) AS k) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word LEFT JOIN (SELECT doc_id, unnest(c) AS p, true AS hit FROM cov) h USING (doc_id, p) WHERE hit IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(c), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op6_quality_classifier, op7_language_id)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_quality_rules, op3_ngram_jaccard, op5_exact_topk, op6_quality_classifier, op7_language_id, op8_best_fit_packing, op9_substring_dedup, op10_byte_bpe)
 }
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op3_ngram_jaccard": OP3_SQL}
+ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_exact_topk": OP5_SQL, "op9_substring_dedup": OP9_SQL}
