@@ -127,3 +127,19 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
 
     scored = documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, bits: int = BITS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of documents, all columns, that score at least ``threshold``."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, bits, train_rows))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = model.value
+        for batch in batches:
+            for start, stop in T.row_chunks(batch.column("text")):
+                part = batch.slice(start, stop - start)
+                f, v, b = grams(part.column("text"), bits)
+                dots = np.concatenate([[0], np.cumsum(weights[f] * v)])
+                yield part.filter(pa.array(logistic(dots[b[1:]] - dots[b[:-1]] + bias) >= threshold))
+
+    return documents.mapInArrow(keep, documents.schema)

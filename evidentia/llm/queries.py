@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lines, op2_rules, op3_jaccard, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe
+from . import op1_lines, op2_rules, op3_jaccard, op4_secrets, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,21 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def _count_of(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4_secrets.scan(_table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [_count_of("assign"), _count_of("access"), _count_of("hex")]
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_kdtree.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -115,6 +130,6 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_ngram_jaccard, op5_exact_topk, op6_quality_classifier, op7_language_id, op8_best_fit_packing, op9_substring_dedup, op10_byte_bpe)
+    for f in (op1_line_dedup, op2_quality_rules, op3_ngram_jaccard, op4_secret_scan, op5_exact_topk, op6_quality_classifier, op7_language_id, op8_best_fit_packing, op9_substring_dedup, op10_byte_bpe)
 }
 ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_exact_topk": OP5_SQL, "op9_substring_dedup": OP9_SQL}
