@@ -36,8 +36,8 @@ BITS = 27
 DEPTH = 2
 #: Cell ranges of a sketch row that are merged apart.
 RANGES = 64
-#: Cores or windows that a task gathers before it sends them.
-FLUSH = 1 << 21
+#: Cores, and windows of the exact pass, that a task gathers before it sends them.
+FLUSH, FLUSH_WINDOWS = 1 << 20, 1 << 18
 
 
 def windows(column: pa.Array, size: int) -> tuple[np.ndarray, ...]:
@@ -92,16 +92,16 @@ def sketch_parts(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Ite
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), T.blob_array(blobs)], ["range", "cells"])
 
     for batch in batches:
-        batch = batch.filter(batch.column("doc_id").is_valid())
+        batch = batch.filter(batch.column("doc_id").is_valid()) if batch.column("doc_id").null_count else batch
         for start, stop in T.row_chunks(batch.column("text")):
             rows, _, core, _, _ = windows(batch.column("text").slice(start, stop - start), size)
             if len(core):
                 order = np.lexsort((core, rows))
                 core, rows = core[order], rows[order]
                 kept.append(core[np.r_[True, (core[1:] != core[:-1]) | (rows[1:] != rows[:-1])]])
-        if sum(map(len, kept)) > FLUSH:
-            yield flush()
-            kept = []
+            if sum(map(len, kept)) > FLUSH:
+                yield flush()
+                kept = []
     if kept:
         yield flush()
 
@@ -172,7 +172,7 @@ def candidates(batches: Iterator[pa.RecordBatch], size: int, bits: int, sketch,
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(np.r_[d, np.zeros(n, np.int64)].astype(np.int64)), pa.array(np.r_[m, np.zeros(n, np.int64)].astype(np.int64)), T.blob_array(blobs)], ["slice", "doc_id", "mark", "starts"])
 
     for batch in batches:
-        batch = batch.filter(batch.column("doc_id").is_valid())
+        batch = batch.filter(batch.column("doc_id").is_valid()) if batch.column("doc_id").null_count else batch
         docs = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
         marks = batch.column("mark").to_numpy(zero_copy_only=False)
         for start, stop in T.row_chunks(batch.column("text")):
@@ -181,9 +181,9 @@ def candidates(batches: Iterator[pa.RecordBatch], size: int, bits: int, sketch,
             if use.any():
                 rows = rows[use] + start
                 kept.append((docs[rows], marks[rows], at[use].astype(np.int64), core[use], full[use], more[use]))
-        if sum(len(x[0]) for x in kept) > FLUSH:
-            yield flush()
-            kept = []
+            if sum(len(x[0]) for x in kept) > FLUSH_WINDOWS:
+                yield flush()
+                kept = []
     if kept:
         yield flush()
 
@@ -203,25 +203,24 @@ def judged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def rebuilt(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, found = batch.column("text").cast(pa.large_binary()), batch.column("found")
-        kept, counts, removed = [], [], []
-        for i in range(len(batch)):
-            words = (texts[i].as_py() or b"").split()
-            counts.append(len(words))
-            blobs = found[i].as_py()
-            if blobs:
-                starts = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
-                cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + size, -1)
-                stay = np.cumsum(cover)[:-1] == 0
-                removed.append(int(len(words) - stay.sum()))
-                words = list(compress(words, stay.tolist()))
-            else:
-                removed.append(0)
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+    for whole in batches:
+        for start, stop in T.row_chunks(whole.column("text")):
+            batch = whole.slice(start, stop - start)
+            kept, counts, removed = [], [], []
+            for text, found in zip(batch.column("text").cast(pa.binary()), batch.column("found"), strict=True):
+                words = (text.as_py() or b"").split()
+                counts.append(len(words))
+                blobs = found.as_py()
+                if blobs:
+                    starts = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+                    cover = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(cover, starts, 1)
+                    np.add.at(cover, starts + size, -1)
+                    stay = np.cumsum(cover)[:-1] == 0
+                    words = list(compress(words, stay.tolist()))
+                removed.append(counts[-1] - len(words))
+                kept.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def substring_dedup(documents: DataFrame, size: int = 13, bits: int = BITS) -> DataFrame:
@@ -230,7 +229,7 @@ def substring_dedup(documents: DataFrame, size: int = 13, bits: int = BITS) -> D
     source = documents.select("doc_id", "text")
     marked = source.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     sketch = spark.sparkContext.broadcast(repeated_cells(source, size, bits))
-    slices = max(tasks(spark), 16)
+    slices = 3 * max(tasks(spark), 8)
     found = written(marked.mapInArrow(lambda b: candidates(b, size, bits, sketch, slices), _FOUND), "windows")
 
     def exact(table: pa.Table) -> pa.Table:
