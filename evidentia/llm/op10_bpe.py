@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose ids a worker keeps between blocks.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Positions of a merge from which on it is applied by array operations; fewer are done one by one.
 ARRAY_MERGE = 64
 #: Stands for the symbol beside a word's edge.
@@ -200,13 +200,27 @@ class Vocabulary:
             self.known.clear()
             self.spaced.clear()
         known, spaced = self.known, self.spaced
-        cut = [None if _DOUBLE_SPACE.search(t) else t.split(" ") for t in texts]
-        whole = [self.split.findall(t if pieces is None else pieces[0]) for t, pieces in zip(texts, cut, strict=True)]
-        new = {x for pieces in cut if pieces for x in pieces[1:] if x not in spaced}
+
+        def parts(text: str) -> tuple[list[str], list[str]]:
+            """Matches of the pattern at the beginning, and the pieces after a lone space each."""
+            pieces = [text] if _DOUBLE_SPACE.search(text) else text.split(" ")
+            return self.split.findall(pieces[0]), pieces[1:]
+
+        words: set[str] = set()
+        new: set[str] = set()
+        for text in texts:  # split twice rather than kept: a block has millions of pieces, few of them new
+            first, pieces = parts(text)
+            words.update(first)
+            new.update(x for x in pieces if x not in spaced)
         found = {x: self.split.findall(" " + x) for x in new}
-        self.encode_words({w for words in (*whole, *found.values()) for w in words})
-        spaced.update((x, b"".join([known[w] for w in words])) for x, words in found.items())
-        return [b"".join([*[known[w] for w in words], *([spaced[x] for x in pieces[1:]] if pieces else ())]) for words, pieces in zip(whole, cut, strict=True)]
+        words.update(w for match in found.values() for w in match)
+        self.encode_words(words)
+        spaced.update((x, b"".join([known[w] for w in match])) for x, match in found.items())
+        out = []
+        for text in texts:
+            first, pieces = parts(text)
+            out.append(b"".join([*[known[w] for w in first], *[spaced[x] for x in pieces]]))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -218,7 +232,7 @@ def _lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def _blocks(column: pa.Array, limit: int = 1 << 25) -> Iterator[tuple[int, list[str]]]:
+def _blocks(column: pa.Array, limit: int = 1 << 24) -> Iterator[tuple[int, list[str]]]:
     """Texts in blocks of about ``limit`` characters."""
     texts, size, start = [], 0, 0
     for i, x in enumerate(column):

@@ -12,9 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Workers are reused by later tasks: freed batches go back to the system at once.
-pa.set_memory_pool(pa.system_memory_pool())
-
 #: Bytes of text that one pass works on; a longer text forms a pass of its own.
 CHUNK_BYTES = 1 << 20
 
