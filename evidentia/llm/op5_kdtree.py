@@ -6,8 +6,9 @@ bound of its product with the box, until no bound reaches the query's kth score
 propagates: a first step asks one shard a query, and the other shards start from the score found there, so that they
 enter only boxes that can still improve it.
 
-Queries are a stated part of the rows and travel in blocks of ``BLOCK``; each block visits each shard once, so nothing
-is broadcast. Scores are exact: products are summed in float64 while they stay below 2**53, else in Python
+Queries are a stated part of the rows; nothing is broadcast. A shard's points come first in its task, its queries stream
+past them in blocks of at most ``BLOCK``, so that a task holds one shard and one block, whatever the number of queries.
+Scores are exact: products are summed in float64 while they stay below 2**53, else in Python
 integers (clipped to 64 bits in the result).
 
 Null vectors and vectors with a null or non-finite component take no part, nor do rows without an id; vectors of a
@@ -17,16 +18,18 @@ its own id. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import decimal
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import tasks, written
 
-#: Queries that travel together, vectors in a shard (about) and in a leaf.
+#: Queries that meet a shard together, vectors in a shard (about) and in a leaf.
 BLOCK, SHARD, LEAF = 256, 16_384, 64
 
 
@@ -66,7 +69,7 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: list[float], k: int) -> list[list[tuple[float, int]]]:
     """Of each query its (score, id) in this tree that are at least its floor, the k best (ties: smaller ids)."""
     out = []
     bounds = tree.bounds(queries)
@@ -101,51 +104,80 @@ def quantised(column: pa.Array, scale: float) -> np.ndarray:
     return np.floor(scale * flat).reshape(len(column), -1)
 
 
-def _exact(points: np.ndarray) -> np.ndarray:
-    """float64, or Python integers where sums of products could pass 2**53."""
-    if points.size and float(np.abs(points).max()) ** 2 * points.shape[1] >= 2**53:
-        return np.array([[int(x) for x in row] for row in points], object)
-    return points
+def _large(points: np.ndarray) -> bool:
+    """Whether sums of products could pass 2**53."""
+    return bool(points.size) and float(np.abs(points).max()) ** 2 * points.shape[1] >= 2**53
+
+
+def _integers(points: np.ndarray) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in points], object)
+
+
+class Shard:
+    """The points of one shard and length; its trees, of float64 and of Python integers, are made when first asked."""
+
+    def __init__(self, batches: list[pa.RecordBatch], scale: float) -> None:
+        self.ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in batches])
+        self.points = np.concatenate([quantised(b.column("embedding"), scale) for b in batches])
+        self.large = _large(self.points)
+        self.trees: dict[bool, Tree] = {}
+
+    def best(self, asked: pa.RecordBatch, k: int, scale: float) -> pa.RecordBatch:
+        wanted = quantised(asked.column("embedding"), scale)
+        large = self.large or _large(wanted)
+        if large not in self.trees:
+            self.trees[large] = Tree(_integers(self.points) if large else self.points)
+        number = int if large else float
+        floors = [-np.inf if x is None else number(x) for x in asked.column("floor").to_pylist()]
+        names = asked.column("id").to_numpy(zero_copy_only=False)
+        found = search(self.trees[large], self.ids, _integers(wanted) if large else wanted, names, floors, k)
+        rows = [(name, i, decimal.Decimal(int(s))) for name, best in zip(names.tolist(), found, strict=True) for s, i in best]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
+
+
+def answers(batches: Iterator[pa.RecordBatch], k: int, scale: float, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """``query_id, vec_id, score`` from rows ``shard, dims, asks, id, embedding, floor`` in the order of the first three."""
+    key, points, shard = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("shard", "dims", "asks")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == stop:
+                continue
+            if tuple(keys[:2, start]) != key:
+                key, points, shard = tuple(keys[:2, start]), [], None
+            if not keys[2, start]:
+                points.append(batch.slice(start, stop - start))
+                continue
+            if points:
+                shard, points = Shard(points, scale), []
+            if shard is not None:
+                for at in range(start, stop, block):
+                    yield shard.best(batch.slice(at, min(block, stop - at)), k, scale)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, shard: int = SHARD) -> DataFrame:
     """``vectors(vec_id, embedding)`` to ``query_id, rank, vec_id, score``; queries are the rows with vec_id divisible by ``every``."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
-    usable = usable.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"))
+    usable = usable.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"))
     shards = max(1, -(-usable.count() // shard))
     number = F.monotonically_increasing_id()
-    dealt = written(usable.withColumn("shard", F.pmod(F.xxhash64("vec_id", number), F.lit(shards)).cast("int")), "vectors")
-    queries = dealt.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.col("dims").alias("dims_asked"), F.pmod("block", F.lit(shards)).cast("int").alias("home"))
-    found_type = "query_id long, vec_id long, score decimal(38,0)"
-
-    def ask(points: pa.Table, asked: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int]] = []
-        if len(points) and len(asked):
-            data, wanted = _exact(quantised(points.column("embedding").combine_chunks(), scale)), _exact(quantised(asked.column("asked").combine_chunks(), scale))
-            if data.dtype != wanted.dtype:
-                data, wanted = data.astype(object), wanted.astype(object)
-            tree = Tree(data)
-            names = asked.column("query_id").to_pylist()
-            floors = [-np.inf if x is None else float(x) for x in asked.column("floor").to_pylist()]
-            for name, best in zip(names, search(tree, points.column("vec_id").to_numpy(), wanted, np.array(names), np.array(floors), k), strict=True):
-                rows += [(name, i, int(s)) for s, i in best]
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        import decimal
-
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array([decimal.Decimal(x) for x in columns[2]], pa.decimal128(38, 0))})
-
-    def asked_of(pairs: DataFrame) -> DataFrame:
-        return dealt.groupBy("shard", "dims").cogroup(pairs.groupBy("to", "dims_asked")).applyInArrow(ask, found_type)
-
-    home = queries.select("query_id", "asked", "dims_asked", F.col("home").alias("to"), F.lit(None).cast("double").alias("floor"))
-    first = written(asked_of(home), "first")
-    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
-    others = queries.join(floors, "query_id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> home")
-    second = asked_of(others.select("query_id", "asked", "dims_asked", "to", "floor"))
+    dealt = written(usable.withColumn("shard", F.pmod(F.xxhash64("id", number), F.lit(shards)).cast("int")), "vectors")
+    queries = dealt.where(F.col("id") % every == 0).dropDuplicates(["id", "embedding"])
+    queries = queries.withColumn("home", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
+    order = ["shard", "dims", "asks"]
+    points = dealt.select("shard", "dims", F.lit(0).alias("asks"), "id", "embedding", F.lit(None).cast("decimal(38,0)").alias("floor"))
+
+    def ask(asked: DataFrame) -> DataFrame:
+        asked = asked.select(F.col("to").alias("shard"), "dims", F.lit(1).alias("asks"), "id", "embedding", "floor")
+        rows = points.union(asked).repartition(max(shards, tasks(vectors.sparkSession)), "shard").sortWithinPartitions(*order)
+        return rows.mapInArrow(lambda batches: answers(batches, k, scale), "query_id long, vec_id long, score decimal(38,0)")
+
+    first = written(ask(queries.withColumn("to", F.col("home")).withColumn("floor", F.lit(None).cast("decimal(38,0)"))), "first")
+    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    second = ask(queries.join(floors, "id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> home"))
     # A query has at most k rows of each shard; the ranks are those of its k best.
     merged = first.union(second).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     ranked = merged.select("query_id", F.posexplode("best").alias("at", "b"))

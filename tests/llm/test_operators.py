@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -184,6 +185,37 @@ def test_op5_exact(spark, shard):
     assert op5_kdtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op5_queries_stream_in_blocks():
+    """A task takes a shard's queries as they come and never holds more than a block of them."""
+    rng = np.random.default_rng(5)
+
+    def rows(asks, count):
+        vectors = [[float(x) for x in rng.integers(-9, 9, 4)] for _ in range(count)]
+        return pa.RecordBatch.from_pydict({"shard": [0] * count, "dims": [4] * count, "asks": [asks] * count, "id": list(range(count)), "embedding": vectors, "floor": pa.array([None] * count, pa.decimal128(38, 0))})
+
+    taken = []
+
+    def batches():
+        for asks, count in ((0, 100), (0, 100), (1, 300), (1, 300), (1, 300)):
+            taken.append(count)
+            yield rows(asks, count)
+
+    sizes = []
+    for out in op5_kdtree.answers(batches(), 3, 1.0, block=128):
+        sizes.append((len(taken), len(set(out.column("query_id").to_pylist())), out.num_rows))
+    assert sizes == [(n, size, 3 * size) for n in (3, 4, 5) for size in (128, 128, 44)]
+
+
+def test_op5_small_points_and_large_queries_are_exact(spark):
+    rng = random.Random(4)
+    vectors = [(i, [float(rng.randint(1, 10**5)) for _ in range(4)]) for i in range(1, 20)] + [(20, [float(rng.randint(2**50, 2**52)) for _ in range(4)])]
+    got = op5_kdtree.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=5, scale=1.0, shard=4).collect()
+    q = [int(x) for x in vectors[-1][1]]
+    scored = sorted((-sum(a * int(b) for a, b in zip(q, v, strict=True)), i) for i, v in vectors[:-1])
+    limit = 2**63 - 1
+    assert {tuple(r) for r in got} == {(20, n + 1, i, min(-s, limit)) for n, (s, i) in enumerate(scored[:5])}
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
