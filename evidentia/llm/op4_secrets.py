@@ -1,15 +1,17 @@
 """Operator 4: secret scans, three fixed rules and a character convolutional network over further candidates.
 
-The rules find assignments, access keys and long hexadecimal runs. Every other run of at least
-``CANDIDATE`` key characters with a letter and a digit is a candidate: the network sees 24 characters before it, its first
-40 and last 16, and 16 after it (whole texts are scanned, at any place). It is one convolution of
-width 5 over character classes, the maximum and mean of each filter, and a logistic output, all in numpy.
+The rules find assignments, access keys and long hexadecimal runs. Of every run of key characters the parts outside
+the rules' spans are candidates if they have at least ``CANDIDATE`` characters, with or without digits. The network sees all
+of a candidate: in one window up to 56 characters, else in windows of 56 that overlap by half, whose highest score
+counts; and 24 characters before and 16 after each window (whole texts are scanned, at any place). It is one convolution
+of width 5 over character classes, the maximum and mean of each filter, and a logistic output, all in numpy.
 
 It is trained on labelled findings: at most ``TRAIN_ROWS`` documents (those with the smallest hash of doc_id) give the
-rules' findings as positives and other candidates as negatives; ``EXAMPLES`` generated findings of common key
+rules' findings as positives and other candidates as negatives, of which those with the smallest hash are used
+(4 windows a document); ``EXAMPLES`` generated findings of common key
 formats and look-alikes (identifiers, paths, versions, addresses) with a fixed seed join them. A held-out fifth
-calibrates the scores (logistic scaling) and sets the threshold: the highest that keeps at least ``RECALL`` of the
-held-out secrets, and never below one half.
+calibrates the scores (logistic scaling) and sets the threshold: one half, or less where that is needed to keep at
+least ``RECALL`` of the held-out secrets.
 
 A null text is empty. Repeated rows give a row each; an empty table gives an empty result.
 """
@@ -34,9 +36,9 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE)
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 BEFORE, HEAD, TAIL, AFTER = 24, 40, 16, 16
 WIDTH = BEFORE + HEAD + TAIL + AFTER
+SEEN = HEAD + TAIL
 CHANNELS, FILTERS, KERNEL = 12, 24, 5
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -50,8 +52,40 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Candidate runs that no rule's span overlaps."""
-    return [(m.start(), m.end()) for m in RUN.finditer(text) if _MIXED.match(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    """The parts of runs outside the rules' spans, of at least ``CANDIDATE`` characters."""
+    out = []
+    first = 0  # of the spans that may still reach a run
+    spans = _merged([(a, b) for a, _, b in base])
+    for m in RUN.finditer(text):
+        at = m.start()
+        while first < len(spans) and spans[first][1] <= at:
+            first += 1
+        for a, b in spans[first:]:
+            if a >= m.end():
+                break
+            if a - at >= CANDIDATE:
+                out.append((at, a))
+            at = max(at, b)
+        if m.end() - at >= CANDIDATE:
+            out.append((at, m.end()))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping pieces of a run that a window shows in full; they cover it."""
+    if end - start <= SEEN:
+        return [(start, end)]
+    return [(a, a + SEEN) for a in [*range(start, end - SEEN, SEEN // 2), end - SEEN]]
 
 
 def _class_table() -> np.ndarray:
@@ -66,9 +100,9 @@ _CLASSES = _class_table()
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of the characters that the network sees; 255 is padding. The last channel marks the run itself."""
+    """Classes of the characters around a piece; 255 is padding. The last channel marks the piece itself."""
     head = text[start : min(end, start + HEAD)]
-    tail = text[max(start + HEAD, end - TAIL) : end]
+    tail = text[start + HEAD : end]
     parts = (text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), head.ljust(HEAD, "\0"), tail.ljust(TAIL, "\0"), text[end : end + AFTER].ljust(AFTER, "\0"))
     codes = np.array([ord(c) for c in "".join(parts)])
     return np.where(codes == 0, 255, _CLASSES[np.minimum(codes, 255)]).astype(np.uint8)
@@ -137,7 +171,7 @@ class Network:
             self.offset -= 0.1 * float((q - y).mean())
         found = np.sort(self.score(windows[held])[y > 0])
         if len(found):
-            self.threshold = max(0.5, float(found[int((1 - RECALL) * len(found))]))
+            self.threshold = min(0.5, float(found[int((1 - RECALL) * len(found))]))
 
 
 def generated(count: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +193,7 @@ def generated(count: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndar
         lambda: draw(upper, 4, 4) + draw(upper + digits, 20, 28),
         lambda: draw(every, 20, 40) + "-" + draw(every, 8, 16),
         lambda: draw("0123456789ABCDEF", 32, 64),
+        lambda: draw(lower + upper, 24, 48),
     )
     plain = (
         lambda: words(3, 5, "_") + str(random.integers(1, 99)),
@@ -168,6 +203,11 @@ def generated(count: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndar
         lambda: words(3, 5, "").title() + words(2, 3, "").title() + str(random.integers(1, 9)),
         lambda: "=" * int(random.integers(18, 40)) + draw(lower, 1, 3) + draw(digits, 1, 2),
         lambda: draw(lower, 20, 30) + str(random.integers(0, 999)),
+        lambda: words(4, 7, ("_", "-", "/")[int(random.integers(3))]),
+        lambda: words(4, 6, " ").title().replace(" ", ""),
+        lambda: "-_=/+"[int(random.integers(5))] * int(random.integers(20, 80)),
+        lambda: draw(lower, 20, 40),
+        lambda: "/" + words(9, 16, "/"),
     )
     keys = ("key", "auth", "credential", "bearer", "pwd", "access", "client")
     rows, labels = [], []
@@ -175,13 +215,22 @@ def generated(count: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndar
         is_secret = i % 2
         maker = (secret if is_secret else plain)[int(random.integers(len(secret if is_secret else plain)))]
         run = maker()
-        if not (RUN.fullmatch(run) and _MIXED.match(run)):
+        if not RUN.fullmatch(run):
             continue
         named = random.random() < (0.5 if is_secret else 0.1)
         lead = words(1, 4, " ") + (f" {keys[int(random.integers(len(keys)))]} = \"" if named else " ")
+        key = (len(lead), len(lead) + len(run))
+        if is_secret and random.random() < 0.25:  # a key inside a long path
+            path = "/" + words(1, 10, "/") + "/"
+            key = (key[0] + len(path), key[1] + len(path))
+            run = path + run + "/" + words(1, 10, "/")
         text = lead + run + ("\" " if named else " ") + words(1, 3, " ")
-        rows.append(window(text, len(lead), len(lead) + len(run)))
-        labels.append(is_secret)
+        for a, b in pieces(len(lead), len(lead) + len(run)):
+            shown = min(b, key[1]) - max(a, key[0])
+            if is_secret and 0 < shown < CANDIDATE:
+                continue  # too little of the key to tell
+            rows.append(window(text, a, b))
+            labels.append(int(is_secret and shown > 0))
     return np.stack(rows), np.array(labels)
 
 
@@ -198,15 +247,17 @@ def train(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> Network:
                 for a, kind, b in base:
                     if kind == 0:
                         a = b - len(ASSIGN.match(text, a, b)[1])
-                    rows.append(window(text, a, b).tobytes())
-                    labels.append(1)
+                    for piece in pieces(a, b):
+                        rows.append(window(text, *piece).tobytes())
+                        labels.append(1)
                 for a, b in candidates(text, base):
-                    rows.append(window(text, a, b).tobytes())
-                    labels.append(0)
+                    for piece in pieces(a, b):
+                        rows.append(window(text, *piece).tobytes())
+                        labels.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(labels, pa.int32())], ["seen", "label"])
 
     # The same windows occur in copies; the bound holds for distinct ones.
-    found = sample.mapInArrow(label, "seen binary, label int").groupBy("seen").agg(F.max("label").alias("label")).orderBy("seen").limit(4 * train_rows).collect()
+    found = sample.mapInArrow(label, "seen binary, label int").groupBy("seen").agg(F.max("label").alias("label")).orderBy(F.xxhash64("seen"), "seen").limit(4 * train_rows).collect()
     windows, labels = generated()
     if found:
         windows = np.concatenate([windows, np.stack([np.frombuffer(r["seen"], np.uint8) for r in found])])
@@ -216,6 +267,21 @@ def train(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> Network:
     return network
 
 
+def found_by_network(network: Network, texts: list[str], bases: list[list[Span]]) -> Iterator[tuple[int, int, int, float]]:
+    """``row, start, end, score`` of the candidates whose highest score reaches the threshold."""
+    places, windows = [], []
+    for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
+        for a, b in candidates(text, base):
+            seen = [window(text, *piece) for piece in pieces(a, b)]
+            places.append((i, a, b, len(windows)))
+            windows += seen
+    if places:
+        highest = np.maximum.reduceat(network.score(np.stack(windows)), [at for *_, at in places])
+        for (i, a, b, _), score in zip(places, highest.tolist(), strict=True):
+            if score >= network.threshold:
+                yield i, a, b, score
+
+
 def scan(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, text, spans`` of each row; spans: array of (start, end, kind, score), by start and kind."""
     model = documents.sparkSession.sparkContext.broadcast(train(documents, train_rows))
@@ -224,19 +290,11 @@ def scan(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = model.value
         for batch in batches:
-            all_spans: list[list[tuple]] = []
-            asked, places = [], []
-            for i, x in enumerate(batch.column("text")):
-                text = x.as_py() or ""
-                base = base_spans(text)
-                all_spans.append([(a, kind, b, 1.0) for a, kind, b in base])
-                for a, b in candidates(text, base):
-                    asked.append(window(text, a, b))
-                    places.append((i, a, b))
-            scores = network.score(np.stack(asked)) if asked else np.zeros(0)
-            for (i, a, b), score in zip(places, scores.tolist(), strict=True):
-                if score >= network.threshold:
-                    all_spans[i].append((a, 3, b, score))
+            texts = [x.as_py() or "" for x in batch.column("text")]
+            bases = [base_spans(text) for text in texts]
+            all_spans: list[list[tuple]] = [[(a, kind, b, 1.0) for a, kind, b in base] for base in bases]
+            for i, a, b, score in found_by_network(network, texts, bases):
+                all_spans[i].append((a, 3, b, score))
             rows = [[{"start": a, "end": b, "kind": KINDS[kind], "score": s} for a, kind, b, s in sorted(spans)] for spans in all_spans]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string()), pa.array(rows, spans_type)], ["doc_id", "text", "spans"])
 
@@ -267,17 +325,10 @@ def redact(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
         network = model.value
         for batch in batches:
             texts = [x.as_py() for x in batch.column("text")]
-            spans: list[list[tuple[int, int]]] = []
-            asked, places = [], []
-            for i, text in enumerate(texts):
-                base = base_spans(text or "")
-                spans.append([(a, b) for a, _, b in base])
-                for a, b in candidates(text or "", base):
-                    asked.append(window(text, a, b))
-                    places.append((i, a, b))
-            for (i, a, b), score in zip(places, network.score(np.stack(asked)) if asked else [], strict=True):
-                if score >= network.threshold:
-                    spans[i].append((a, b))
+            bases = [base_spans(text or "") for text in texts]
+            spans = [[(a, b) for a, _, b in base] for base in bases]
+            for i, a, b, _ in found_by_network(network, [text or "" for text in texts], bases):
+                spans[i].append((a, b))
             texts = [redacted(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
