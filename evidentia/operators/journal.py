@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,34 +130,91 @@ def duplicate_payloads(journal: DataFrame) -> DataFrame:
     return journal.groupBy("project_id", "event_type", "subject_key", "statement").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def chained(journal: DataFrame) -> DataFrame:
-    """Adds ``payload_hash, prev_hash, event_hash``: a hash chain a project, in seq order.
+#: Sequence numbers of a project that one segment of its chain spans.
+SEGMENT = 65_536
 
-    Creation is sequential by nature; a project is one group, its rows three short columns.
+
+def chained(journal: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Adds ``segment, payload_hash, prev_hash, event_hash``: hash chains in seq order, one a (project, segment of seq).
+
+    Segments are chained side by side and their rows stream in order, so that a task holds one hash, whatever a
+    project's size; ``segment_heads`` chains the segments of a project.
     """
     import hashlib
 
     payload = F.sha2(F.concat_ws("|", "event_id", "event_type", "task_id", "command", "statement"), 256)
+    columns = ["project_id", "seq", "segment", "payload_hash"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, head = None, ""
+        for batch in batches:
+            hashes, heads = [], []
+            for *at, p in zip(*(batch.column(c).to_pylist() for c in ("project_id", "segment", "payload_hash")), strict=True):
+                if at != place:
+                    place, head = at, ""
+                heads.append(head)
+                head = hashlib.sha256(f"{head}|{p}".encode()).hexdigest()
+                hashes.append(head)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(heads, pa.string()), pa.array(hashes, pa.string())], [*columns, "prev_hash", "event_hash"])
+
+    rows = journal.select("project_id", "seq", F.expr(f"seq div {segment}").alias("segment"), payload.alias("payload_hash"))
+    rows = rows.repartition("project_id", "segment").sortWithinPartitions("project_id", "segment", "seq", "payload_hash")
+    return rows.mapInArrow(link, "project_id string, seq long, segment long, payload_hash string, prev_hash string, event_hash string")
+
+
+def _checked(chain: DataFrame) -> DataFrame:
+    """Adds ``broken``: whether a row's stored hashes don't follow; by stored neighbours, parallel by segment."""
+    w = Window.partitionBy("project_id", "segment").orderBy("seq", "payload_hash")
+    before = F.coalesce(F.lag("event_hash").over(w), F.lit(""))
+    expected = F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), F.col("payload_hash")), 256)
+    return chain.withColumn("broken", ~F.coalesce((F.col("prev_hash") == before) & (F.col("event_hash") == expected), F.lit(False)))
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        head, hashes, heads = "", [], []
-        for p in rows["payload_hash"]:
-            heads.append(head)
-            head = hashlib.sha256(f"{head}|{p}".encode()).hexdigest()
-            hashes.append(head)
-        return rows.assign(prev_hash=heads, event_hash=hashes)
 
-    rows = journal.select("project_id", "seq", payload.alias("payload_hash"))
-    return rows.groupBy("project_id").applyInPandas(link, "project_id string, seq long, payload_hash string, prev_hash string, event_hash string")
+def broken_links(chain: DataFrame) -> DataFrame:
+    """Rows whose stored hashes don't follow."""
+    return _checked(chain).where("broken").drop("broken")
 
 
-def broken_links(chain: DataFrame) -> DataFrame:
-    """Rows whose stored hashes don't follow; verification uses stored neighbours and is parallel by project."""
-    w = Window.partitionBy("project_id").orderBy("seq")
-    before = F.coalesce(F.lag("event_hash").over(w), F.lit(""))
-    expected = F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), F.col("payload_hash")), 256)
-    return chain.withColumn("before", before).where((F.col("prev_hash") != F.col("before")) | (F.col("event_hash") != expected)).drop("before")
+def _segments(chain: DataFrame) -> DataFrame:
+    """Of each segment: rows, broken rows and its last hash."""
+    last = F.max(F.struct("seq", "payload_hash", "event_hash"))["event_hash"]
+    return _checked(chain).groupBy("project_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("broken").cast("long")).alias("broken"), last.alias("last_hash"))
+
+
+def _head_hash() -> Column:
+    return F.sha2(F.concat_ws("|", "prev_head", F.col("segment").cast("string"), F.col("n").cast("string"), "last_hash"), 256)
+
+
+def segment_heads(chain: DataFrame) -> DataFrame:
+    """``project_id, segment, n, last_hash, prev_head, head``: the chain of a project's segments, in order.
+
+    One short row a segment: ``SEGMENT`` times fewer than events, so this is the sequential part.
+    """
+    import hashlib
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("segment")
+        head, before, heads = "", [], []
+        for segment, n, last in zip(rows["segment"], rows["n"], rows["last_hash"], strict=True):
+            before.append(head)
+            head = hashlib.sha256(f"{head}|{segment}|{n}|{last}".encode()).hexdigest()
+            heads.append(head)
+        return rows.assign(prev_head=before, head=heads)
+
+    segments = _segments(chain).select("project_id", "segment", "n", "last_hash")
+    return segments.groupBy("project_id").applyInPandas(link, "project_id string, segment long, n long, last_hash string, prev_head string, head string")
+
+
+def audit(chain: DataFrame, heads: DataFrame) -> DataFrame:
+    """``project_id, n, broken``: rows of the chain, and how many rows and segment heads don't follow or are missing."""
+    w = Window.partitionBy("project_id").orderBy("segment")  # one row a segment
+    before = F.coalesce(F.lag("head").over(w), F.lit(""))
+    stored = heads.withColumn("follows", F.coalesce((F.col("prev_head") == before) & (F.col("head") == _head_hash()), F.lit(False)))
+    found, stored = _segments(chain).alias("f"), stored.alias("s")
+    both = found.join(stored, F.col("f.project_id").eqNullSafe(F.col("s.project_id")) & F.col("f.segment").eqNullSafe(F.col("s.segment")), "full")
+    same = F.coalesce(F.col("s.follows") & (F.col("f.n") == F.col("s.n")) & (F.col("f.last_hash") == F.col("s.last_hash")), F.lit(False))
+    bad = F.coalesce("f.broken", F.lit(0)) + F.when(same, 0).otherwise(1)
+    return both.groupBy(F.coalesce("f.project_id", "s.project_id").alias("project_id")).agg(F.sum(F.coalesce("f.n", F.lit(0))).cast("long").alias("n"), F.sum(bad).cast("long").alias("broken"))
 
 
 def append(journal: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

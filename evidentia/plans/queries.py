@@ -128,8 +128,7 @@ def duplicate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {JOURNAL} SELECT project_id, count(*) AS n, CAST(0 AS BIGINT) AS broken FROM j GROUP BY project_id")
 def chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = J.chained(journal(spark, sf_dir))
-    bad = J.broken_links(chain).groupBy("project_id").agg(F.count(F.lit(1)).alias("bad"))
-    return chain.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).join(bad, "project_id", "left").select("project_id", "n", F.coalesce("bad", F.lit(0)).cast("long").alias("broken"))
+    return J.audit(chain, J.segment_heads(chain))
 
 
 @query("""WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
