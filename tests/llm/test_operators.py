@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from evidentia.llm.scratch import written
-from evidentia.llm import op1_lines, op2_rules, op3_jaccard, op4_secrets, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe
+from evidentia.llm import op2_rules, op3_jaccard, op4_secrets, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -269,89 +269,6 @@ def test_op7_mixture_finds_both_languages():
     assert best.tolist() == [0, 2] and 0.45 < share[0] < 0.75 and share[1] == 1.0
 
 
-def normal(line):
-    return [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", line.lower()) if w]
-
-
-def test_op1_lines(spark, none):
-    base = "the quick brown fox jumps over the lazy dog near the old river bank and then it sleeps under a very tall tree for hours every day in summer"
-    near = base.replace("summer", "summers")
-    rows = [(5, base + "\nunique line five"), (2, "Something else here\n" + base.upper() + "!"), (7, near), (8, "\n\n"), (9, None), (10, ""), (2, "Something else here\n" + base.upper() + "!"), (11, "Unique, line; FIVE"), (None, base)]
-    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lid string")
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in op1_lines.dedup_lines(frame).collect()), key=repr)
-    texts = {(r[1] if not r[0] else None): r[2] for r in got}
-    assert len(got) == len(rows)
-    assert texts[2] == rows[1][1] and texts[8] == "\n\n" and texts[9] is None and texts[10] == ""
-    assert texts[5] == "unique line five" and texts[None] == "" and texts[11] == ""
-    hashes = {r.t: r.sim for r in op1_lines.with_simhash(op1_lines.lines_of(spark.createDataFrame([(1, base), (2, near)], "doc_id long, text string"))).select(F.array_join("words", " ").alias("t"), "sim").collect()}
-    close = bin((hashes[base] ^ hashes[near]) & (2**64 - 1)).count("1") <= op1_lines.DISTANCE
-    assert texts[7] == ("" if close else near)
-    assert op1_lines.dedup_lines(none).count() == 0
-
-
-def test_op1_links_against_all_pairs(spark, docs, rows):
-    """Stars, then pairs between groups, connect exactly the lines that the links of all pairs connect."""
-    occurrences = written(op1_lines.with_simhash(op1_lines.lines_of(docs.select("doc_id", "text"))).select("lid", "sim", "n_words", "words"), "occurrences")
-    lines = {r.lid: (r.sim, " ".join(r.words)) for r in occurrences.where(F.col("n_words") >= op1_lines.MIN_WORDS).collect()}
-
-    def edits(x, y):
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, e in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
-        return row[-1]
-
-    expected = {
-        (a, b)
-        for a in lines
-        for b in lines
-        if a < b and bin((lines[a][0] ^ lines[b][0]) & (2**64 - 1)).count("1") <= 3 and edits(lines[a][1], lines[b][1]) <= math.floor(max(len(lines[a][1]), len(lines[b][1])) * 0.2 + 1e-9)
-    }
-    root = {x: x for pair in expected for x in pair}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in expected:
-        low, high = sorted((find(a), find(b)))
-        root[high] = low
-    got = op1_lines.line_groups(docs.select("doc_id", "text"), occurrences.select("lid", "sim", "n_words"))
-    assert {tuple(r) for r in got.collect()} == {(x, find(x)) for x in root}
-
-
-def test_op1_groups_of_near_copies(spark):
-    """Chains and hot groups of near copies: the groups are those of all pairs within the SimHash distance."""
-    rng = random.Random(3)
-    words = [f"w{i}" for i in range(400)]
-    bases = [[rng.choice(words) for _ in range(40)] for _ in range(4)]
-    lines = []
-    for base in bases:
-        for _ in range(20):
-            lines.append(" ".join(w if rng.random() > 0.03 else w + "x" for w in base))
-            lines.append(" ".join(base[i] if rng.random() > 0.02 else base[i] + "y" for i in rng.sample(range(40), 40)))
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    rows = written(op1_lines.with_simhash(op1_lines.lines_of(docs)).select("lid", "sim", "n_words", F.array_join("words", " ").alias("line")).distinct(), "rows")
-    x, y = rows.alias("x"), rows.alias("y")
-    links = x.join(y, (F.col("x.lid") < F.col("y.lid")) & (F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= 3))
-    most = F.floor(F.greatest(F.length("x.line"), F.length("y.line")) * 0.2 + 1e-9)
-    links = [tuple(r) for r in links.where(F.levenshtein("x.line", "y.line") <= most).select("x.lid", "y.lid").collect()]
-    root = {n: n for pair in links for n in pair}
-
-    def find(n):
-        while root[n] != n:
-            n = root[n]
-        return n
-
-    for a, b in links:
-        low, high = sorted((find(a), find(b)))
-        root[high] = low
-    got = op1_lines.line_groups(docs, rows.drop("line"))
-    assert len(links) > 5 and {tuple(r) for r in got.collect()} == {(n, find(n)) for n in root}
-
-
 def test_hash_of_op10_query_is_plain(spark):
     from evidentia.llm.queries import QUERIES
 
