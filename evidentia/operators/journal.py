@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import normalize_command
 
 @dataclass(frozen=True)
 class EventFilter:
@@ -20,6 +21,11 @@ class EventFilter:
     event_types: Sequence[str] = ()
     task_id: str | None = None
     agent_profile: str | None = None
+    sources: Sequence[str] = ()
+    run_id: str | None = None
+    attempt_id: str | None = None
+    branch: str | None = None
+    commit_sha: str | None = None
     since: str | None = None
     until: str | None = None
     limit: int | None = None
@@ -27,7 +33,10 @@ class EventFilter:
     descending: bool = False
 
     def predicate(self) -> Column:
-        parts = [F.col(c) == v for c, v in (("project_id", self.project_id), ("task_id", self.task_id), ("agent_profile", self.agent_profile)) if v is not None]
+        names = ("project_id", "task_id", "agent_profile", "run_id", "attempt_id", "branch", "commit_sha")
+        parts = [F.col(c) == getattr(self, c) for c in names if getattr(self, c) is not None]
+        if self.sources:
+            parts.append(F.col("source").isin(*self.sources))
         if self.event_types:
             parts.append(F.col("event_type").isin(*self.event_types))
         if self.since is not None:
@@ -50,17 +59,25 @@ def project_heads(journal: DataFrame) -> DataFrame:
     return journal.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min("recorded_at").alias("created_at"))
 
 
+def scan(journal: DataFrame, project_id: str | None = None, after: int | None = None, batch: int | None = None) -> DataFrame:
+    """Events in seq order; with ``after`` and ``batch`` a page by key, which costs no more the further it lies."""
+    rows = journal if project_id is None else journal.where(F.col("project_id") == project_id)
+    rows = rows if after is None else rows.where(F.col("seq") > after)
+    rows = rows.orderBy("seq")
+    return rows if batch is None else rows.limit(batch)
+
+
+def lookup(journal: DataFrame, ids: DataFrame) -> DataFrame:
+    """The events of the given ``event_id`` rows; ids without an event are silently absent."""
+    return journal.join(ids.select("event_id").distinct(), "event_id", "left_semi")
+
+
 def failure_fold(journal: DataFrame) -> DataFrame:
-    """One row a (project, signature) of failed verifications."""
+    """One row a (project, signature) of failed verifications; what describes it comes from its first event."""
     failed = journal.where(F.col("event_type") == "verification.failed")
-    return failed.groupBy("project_id", "signature").agg(
-        F.min("command").alias("command"),
-        F.min("error_kind").alias("error_kind"),
-        F.count(F.lit(1)).alias("occurrences"),
-        F.min("recorded_at").alias("first_seen"),
-        F.max("recorded_at").alias("last_seen"),
-        F.min("seq").alias("first_seq"),
-    )
+    first = F.min_by(F.struct("event_id", "command", "error_kind", "task_id", "run_id", "purpose", "branch"), "seq")
+    folded = failed.groupBy("project_id", "signature").agg(first.alias("f"), F.count(F.lit(1)).alias("occurrences"), F.min("recorded_at").alias("first_seen"), F.max("recorded_at").alias("last_seen"), F.min("seq").alias("first_seq"))
+    return folded.select("project_id", "signature", F.col("f.event_id").alias("first_event_id"), F.col("f.command").alias("command"), F.col("f.error_kind").alias("error_kind"), F.col("f.task_id").alias("task_id"), F.col("f.run_id").alias("run_id"), F.col("f.purpose").alias("purpose"), F.col("f.branch").alias("branch"), "occurrences", "first_seen", "last_seen", "first_seq")
 
 
 def occurrences(journal: DataFrame) -> DataFrame:
@@ -70,11 +87,29 @@ def occurrences(journal: DataFrame) -> DataFrame:
 
 
 def resolutions(journal: DataFrame) -> DataFrame:
-    """Of each failure signature and task: the first later success of the same command in that task."""
-    failed = journal.where(F.col("event_type") == "verification.failed").groupBy("project_id", "task_id", "signature", "command").agg(F.min("seq").alias("failed_seq"))
-    passed = journal.where(F.col("event_type") == "verification.passed").select("project_id", "task_id", "command", F.col("seq").alias("passed_seq"), F.col("recorded_at").alias("passed_at"))
-    joined = failed.join(passed, ["project_id", "task_id", "command"]).where(F.col("passed_seq") > F.col("failed_seq"))
-    return joined.groupBy("project_id", "signature").agg(F.min(F.struct("passed_seq", "passed_at")).alias("r")).select("project_id", "signature", F.col("r.passed_seq").alias("resolved_by_event"), F.col("r.passed_at").alias("resolved_at"))
+    """Of each failure signature: the first later success that is linked to it.
+
+    A success that names a signature resolves that one alone. Another resolves the failures of its task (or run, without one)
+    that failed with its command or declared its purpose. Failures and successes of a key stand in one sequence, whose running
+    minimum from the end is the next success, so that a key costs a row an event.
+    """
+    failures = failure_fold(journal)
+    scope = F.coalesce("task_id", "run_id")
+    passed = journal.where(F.col("event_type") == "verification.passed")
+    declared = passed.where(F.coalesce(F.trim("resolves_signature"), F.lit("")) != "")
+    open_ = passed.where(F.coalesce(F.trim("resolves_signature"), F.lit("")) == "").where(scope.isNotNull() & (F.coalesce(F.trim("command"), F.lit("")) != ""))
+
+    def keyed(rows: DataFrame, kind: str, key: Column, success: bool) -> DataFrame:
+        at = F.struct(F.col("seq").alias("s"), F.col("recorded_at").alias("t")) if success else F.lit(None).cast("struct<s: bigint, t: timestamp_ntz>")
+        return rows.select("project_id", F.lit(kind).alias("kind"), key.alias("key"), F.lit(None).cast("string").alias("signature") if success else F.col("signature"), (F.col("seq") if success else F.col("first_seq")).alias("seq"), at.alias("success"))
+
+    purpose = F.lower(F.trim("purpose"))
+    ways = (("command", F.struct(scope, normalize_command("command")), open_), ("purpose", F.struct(scope, F.when(purpose != "", purpose)), open_))
+    rows = [keyed(side, kind, F.to_json(key), success).where(key.getField("col2").isNotNull()) for kind, key, successes in ways for side, success in ((failures.where(scope.isNotNull()), False), (successes, True))]
+    rows += [keyed(failures, "declared", F.col("signature"), False), keyed(declared, "declared", F.trim("resolves_signature"), True)]
+    later = Window.partitionBy("project_id", "kind", "key").orderBy(F.desc("seq"), F.col("success").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    met = reduce(DataFrame.union, rows).withColumn("next", F.min("success").over(later)).where(F.col("signature").isNotNull() & F.col("next").isNotNull())
+    return met.groupBy("project_id", "signature").agg(F.min("next").alias("r")).select("project_id", "signature", F.col("r.s").alias("resolved_by_event"), F.col("r.t").alias("resolved_at"))
 
 
 def repeat_failures(journal: DataFrame) -> DataFrame:
@@ -93,26 +128,28 @@ def performance(journal: DataFrame) -> DataFrame:
 
     kind = F.col("event_type")
     rows = journal.where(kind.isin("attempt.completed", "verification.passed", "verification.failed", "review.approved"))
-    out = rows.groupBy("project_id", "agent_profile").agg(
+    out = rows.groupBy("project_id", "agent_profile", "adapter").agg(
         count(kind == "attempt.completed").alias("attempts"),
         count((kind == "attempt.completed") & F.col("ok")).alias("successes"),
         count(kind.startswith("verification.")).alias("verifications"),
         count(kind == "review.approved").alias("approvals"),
         F.min("recorded_at").alias("first_seen"),
         F.max("recorded_at").alias("last_seen"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set("event_id")), ","), 256).alias("event_ids_sha256"),
     )
     return out.withColumn("success_rate", F.when(F.col("attempts") > 0, F.bround(F.col("successes") / F.col("attempts"), 4)))
 
 
 def contradictions(journal: DataFrame) -> DataFrame:
-    """Facts on one subject of a project whose statements differ: each distinct pair of statements with its first events.
+    """Facts on one subject of a project and branch whose statements differ: one row for each, with the first statement of the subject.
 
-    Statements are folded before they meet, so that a frequent subject costs its distinct statements squared.
+    All statements of a subject contradict each other, so that the class and its first member say it all: pairs are not written out.
     """
-    facts = journal.where(F.col("event_type") == "fact.observed").groupBy("project_id", "subject_key", "statement").agg(F.min("seq").alias("seq"))
-    a, b = facts.alias("a"), facts.alias("b")
-    same = (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.subject_key") == F.col("b.subject_key")) & (F.col("a.statement") < F.col("b.statement"))
-    return a.join(b, same).select("a.project_id", "a.subject_key", F.col("a.statement").alias("statement_a"), F.col("b.statement").alias("statement_b"), F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"))
+    facts = journal.where(F.col("event_type") == "fact.observed").groupBy("project_id", "branch", "subject_key", "statement").agg(F.min("seq").alias("seq"))
+    first = facts.groupBy("project_id", "branch", "subject_key").agg(F.min(F.struct("seq", "statement")).alias("first"), F.count(F.lit(1)).alias("statements")).where("statements > 1")
+    a, b = facts.alias("a"), first.alias("b")
+    same = (F.col("a.project_id") == F.col("b.project_id")) & F.col("a.branch").eqNullSafe(F.col("b.branch")) & (F.col("a.subject_key") == F.col("b.subject_key"))
+    return a.join(b, same).select("a.project_id", "a.branch", "a.subject_key", "a.statement", "a.seq", F.col("first.seq").alias("first_seq"), "statements")
 
 
 def latest_facts(journal: DataFrame) -> DataFrame:
@@ -218,14 +255,34 @@ def audit(chain: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def append(journal: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append, and conflicts (a known event_id with another payload). Known equal rows are dropped."""
+    """Rows to append, and conflicts (an event_id with two payloads, in the batch or against the journal). Known equal rows are dropped."""
     known = journal.select("event_id", F.col("payload_hash").alias("known_hash"))
-    joined = new.dropDuplicates(["event_id", "payload_hash"]).join(known, "event_id", "left")
-    return joined.where("known_hash IS NULL").drop("known_hash"), joined.where("known_hash <> payload_hash")
+    each = new.dropDuplicates(["event_id", "payload_hash"])
+    twice = each.groupBy("event_id").agg((F.count(F.lit(1)) > 1).alias("twice"))
+    joined = each.join(known, "event_id", "left").join(twice, "event_id")
+    conflict = F.col("twice") | F.coalesce(F.col("known_hash") != F.col("payload_hash"), F.lit(False))
+    return joined.where(~conflict & F.col("known_hash").isNull()).select(new.columns), joined.where(conflict).select(new.columns)
+
+
+def append_all(journal: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of a batch to append, all or none: a conflict refuses the whole batch."""
+    fresh, conflicts = append(journal, new)
+    bad = conflicts.select("event_id").distinct().limit(5).collect()
+    if bad:
+        raise ValueError(f"event ids with another payload: {sorted(r[0] for r in bad)}")
+    return fresh
 
 
 def nearest_rank(values: DataFrame, column: str, by: str) -> DataFrame:
     """Median (mean of the middle two) and nearest-rank 95th percentile by group."""
+    # Equal values are counted before they meet; ranks come from running counts.
+    counts = values.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(by)
-    ranked = values.select(by, column).withColumn("r", F.row_number().over(w.orderBy(column)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.groupBy(by).agg(F.percentile(column, F.lit(0.5)).alias("median"), F.max(F.when(F.col("r") == F.bround(0.95 * (F.col("n") - 1)), F.col(column))).alias("p95"), F.max(column).alias("max"))
+    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(column))).withColumn("n", F.sum("c").over(w))
+
+    def at(rank: Column) -> Column:
+        """The value of a rank from 0: the smallest whose running count passes it."""
+        return F.min(F.when(F.col("upto") > rank, F.col(column)))
+
+    half = F.floor((F.col("n") - 1) / 2)
+    return ranked.groupBy(by).agg(((at(half) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), at(F.bround(0.95 * (F.col("n") - 1))).alias("p95"), F.max(column).alias("max"))

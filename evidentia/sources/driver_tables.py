@@ -34,6 +34,13 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == "click", "review.approved")
             .otherwise("fact.observed")
             .alias("event_type"),
+            F.when(F.col("user_id") % 10 == 0, "agent").when(F.col("user_id") % 10 == 1, "import").when(F.col("user_id") % 10 == 2, "human").otherwise("kernel").alias("source"),
+            F.concat(F.lit("run-"), F.col("user_id") % 11).alias("run_id"),
+            F.when(F.col("k") % 4 < 3, F.concat(F.lit("b-"), F.col("k") % 4)).alias("branch"),
+            F.when(F.col("k") % 6 < 5, F.concat(F.lit("goal-"), F.col("k") % 6)).alias("purpose"),
+            F.concat(F.lit("adapter-"), F.col("user_id") % 2).alias("adapter"),
+            F.when(F.col("event_id") % 5 == 0, F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 12)).alias("commit_sha"),
+            F.when((kind == "purchase") & (F.col("event_id") % 40 < 8), failure_signature(F.concat(F.lit("cmd-"), (F.col("k") + 7) % 20), F.lit("timeout"))).alias("resolves_signature"),
             F.concat(F.lit("s-"), F.col("k")).alias("subject_key"),
             F.floor(F.col("value") / 50).cast("long").alias("statement"),
             (F.col("value") < 150).alias("ok"),
@@ -45,19 +52,43 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and their labels as memory records."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    m = F.col("doc_id") % 6
+    i = F.col("doc_id")
+    m = i % 6
+    trust = F.when(F.col("toxic") == 1, "quarantined").when(F.col("quality") == 0, "rejected").when(F.col("quality") == 1, F.when(i % 3 == 0, "integrated").otherwise("verified")).otherwise("observed")
+    recorded = F.expr("timestamp_ntz'2024-06-01' - make_dt_interval(cast(doc_id % 97 as int))")
     return (
         table(spark, sf_dir, "documents")
         .join(labels, "doc_id", "left")
+        .withColumn("trust_state", trust)
         .select(
-            F.col("doc_id").alias("memory_id"),
+            i.alias("memory_id"),
             "text",
             F.col("lang").alias("project_id"),
-            F.col("source").alias("branch"),
+            F.when(i % 11 != 0, F.col("source")).alias("branch"),
             F.when(m == 0, "episodic").when(m == 1, "semantic").when(m == 2, "procedural").when(m == 3, "decision").when(m == 4, "gotcha").otherwise("performance").alias("memory_type"),
-            F.when(F.col("toxic") == 1, "quarantined").when(F.col("quality") == 0, "rejected").when(F.col("quality") == 1, F.when(F.col("doc_id") % 3 == 0, "integrated").otherwise("verified")).otherwise("observed").alias("trust_state"),
+            "trust_state",
             F.when(F.col("toxic") == 1, 0.6).otherwise(0.0).alias("poisoning_risk"),
-            (F.col("doc_id") % 97).alias("age_days"),
-            (F.col("doc_id") % 53).alias("access_count"),
+            (i % 97).alias("age_days"),
+            (i % 53).alias("access_count"),
+            F.when(i % 7 == 0, "project").when(i % 7 == 1, "repository").otherwise("branch").alias("scope_level"),
+            F.when(i % 4 < 3, F.concat(F.lit("repo-"), i % 4)).alias("repository_id"),
+            F.concat(F.lit("run-"), i % 13).alias("run_id"),
+            F.concat(F.lit("task-"), i % 50).alias("task_id"),
+            F.concat(F.lit("agent-"), i % 9).alias("author_agent"),
+            F.concat(F.lit("cmd-"), i % 20).alias("command"),
+            F.when(i % 5 == 0, F.concat(F.lit("c"), i % 40)).alias("commit_sha"),
+            recorded.alias("recorded_at"),
+            F.when(i % 17 == 0, recorded + F.expr("interval '3' day")).alias("invalid_at"),
+            F.when(i % 3 == 0, "passed").when(i % 3 == 1, "failed").otherwise("unknown").alias("verification_state"),
+            F.when(i % 5 == 1, "approved").when(i % 5 == 2, "rejected").otherwise("none").alias("review_state"),
+            F.when(F.col("trust_state") == "integrated", F.when(i % 2 == 0, "accepted_user").otherwise("integrated_run")).otherwise("none").alias("integration_state"),
+            F.when((i % 10).isin(1, 2, 3), i - 1).when(i % 10 == 4, i - 2).when(i % 50 == 7, -i).alias("supersedes_id"),
+            F.array(i, i * 11 + 5).alias("source_event_ids"),
         )
     )
+
+
+def commits(spark: SparkSession) -> DataFrame:
+    """A small history: c1 .. c29 in line, c30 .. c34 a side branch of c10; c35 and later are unknown."""
+    line = F.when(F.col("id") == 1, F.lit(None)).when(F.col("id") == 30, F.lit("c10")).otherwise(F.concat(F.lit("c"), F.col("id") - 1))
+    return spark.range(1, 35).select(F.concat(F.lit("c"), F.col("id")).alias("child"), line.alias("parent"))
