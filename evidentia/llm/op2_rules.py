@@ -1,12 +1,13 @@
 """Operator 2: quality rules per document, and host-level verdicts joined back to the documents.
 
-The base rules measure each whole text. Failures are then counted by host (the ``source`` column, or the
-host name in a ``url`` column); each host's failure rate is shrunk towards the corpus by a beta prior
-whose two parameters are fitted to all hosts by moments (empirical Bayes). A host whose shrunken rate exceeds
-``host_limit`` is rejected with all its documents.
-
-Nulls: a null text has no words (and so fails), a null host is a host of its own. Repeated rows give a row
-each, an empty table gives an empty result, other columns are ignored.
+The base rules measure each whole text. Failures of several rules (``HOST_RULES``) are then counted by host (the ``source`` column
+or another); each host's failure rates are shrunk towards the corpus by beta priors
+whose parameters are fitted to all hosts by moments (empirical Bayes). A host with a shrunken rate far above a
+rule's prior is rejected with all its documents, which a join brings back to them.
+
+Nulls: a null text has no words (and so fails), a null host is a host of its own. Empty texts have no words; very long ones are
+measured whole. Equal lines and windows tie by nothing: all but the first line count, all windows count. Repeated rows give a row
+each, an empty table gives an empty result, other columns (of any name) are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .scratch import written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The symbols that count, as bytes.
@@ -87,27 +89,48 @@ def base_rules(documents: DataFrame, host: str = "source") -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def host_verdicts(rows: DataFrame, host_limit: float = 0.5) -> DataFrame:
-    """``host, n_docs, n_failed, host_rate`` (posterior mean) and ``host_ok``, one row a host.
+#: Rules counted by host, on the measures of a document.
+HOST_RULES = {
+    "base": "base_failed",
+    "symbols": "10 * n_symbols > word_chars",
+    "lines": "n_dup_lines >= 5",
+}
 
-    The prior's mean m is the mean of the hosts' rates and its strength s = m (1 - m) / v - 1, where v is
-    the variance of the rates less the part that sampling explains; without such variance s is the mean
-    number of documents of a host (full pooling would forget the host altogether).
-    """
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("inverse"), F.avg("n_docs").alias("size"))
-    between = F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inverse")
-    prior = prior.select("m", F.greatest(F.lit(1.0), F.when(between > 0, F.col("m") * (1 - F.col("m")) / between - 1).otherwise(F.col("size"))).alias("s"))
-    joined = hosts.crossJoin(F.broadcast(prior))  # the prior is a single row
-    posterior = (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
-    return joined.select("host", "n_docs", "n_failed", posterior.alias("host_rate"), (posterior <= host_limit).alias("host_ok"))
 
+def host_verdicts(rows: DataFrame, deviations: float = 3.0, host_limit: float = 0.5) -> DataFrame:
+    """``host, n_docs`` and, of each rule, ``failed_``, ``rate_`` (posterior mean), ``limit_``; ``host_ok`` if no rate exceeds its limit.
 
-def quality_rules(documents: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
+    Each rule has its own prior. Its mean m is the mean of the hosts' rates and its strength s = m (1 - m) / v - 1, where v is
+    the variance of the rates less the part that sampling explains; without such variance s is the mean
+    number of documents of a host (full pooling would forget the host altogether). The limit lies ``deviations`` standard
+    deviations of that beta prior, sqrt(m (1 - m) / (s + 1)), above its mean, so it follows from the hosts themselves; a host that fails mostly (``host_limit``) is
+    too bad whatever the others do.
+    """
+    counts = [F.sum(F.expr(rule).cast("long")).alias(f"failed_{name}") for name, rule in HOST_RULES.items()]
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *counts)
+    moments = [F.avg("n_docs").alias("size"), F.avg(1 / F.col("n_docs")).alias("inverse")]
+    for name in HOST_RULES:
+        rate = F.col(f"failed_{name}") / F.col("n_docs")
+        moments += [F.avg(rate).alias(f"m_{name}"), F.var_pop(rate).alias(f"v_{name}")]
+    joined = hosts.crossJoin(F.broadcast(hosts.agg(*moments)))  # the prior is a single row
+    ok = F.lit(True)
+    out = ["host", "n_docs"]
+    for name in HOST_RULES:
+        m = F.col(f"m_{name}")
+        between = F.col(f"v_{name}") - m * (1 - m) * F.col("inverse")
+        s = F.greatest(F.lit(1.0), F.when(between > 0, m * (1 - m) / between - 1).otherwise(F.col("size")))
+        rate = (F.col(f"failed_{name}") + m * s) / (F.col("n_docs") + s)
+        limit = F.least(F.lit(host_limit), m + deviations * F.sqrt(m * (1 - m) / (s + 1)))
+        joined = joined.withColumn(f"rate_{name}", rate).withColumn(f"limit_{name}", limit)
+        ok = ok & (F.col(f"rate_{name}") <= F.col(f"limit_{name}") + 1e-12)
+        out += [f"failed_{name}", f"rate_{name}", f"limit_{name}"]
+    return joined.select(*out, ok.alias("host_ok"))
+
+
+def quality_rules(documents: DataFrame, host: str = "source", deviations: float = 3.0) -> DataFrame:
     """Base measures, ``base_failed`` and ``kept`` (no base failure and an accepted host) of each row."""
-    rows = base_rules(documents, host)
-    verdicts = host_verdicts(rows, host_limit).select(F.col("host").alias("verdict_of"), "host_ok")
+    rows = written(base_rules(documents, host), "measures")  # texts are measured once
+    verdicts = host_verdicts(rows, deviations).select(F.col("host").alias("verdict_of"), "host_ok")
     return rows.join(verdicts, rows["host"].eqNullSafe(verdicts["verdict_of"]), "left").select(
         "doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept")
     )

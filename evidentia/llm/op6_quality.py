@@ -52,11 +52,13 @@ def grams(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, n
     capital = (data >= 65) & (data <= 90)
     capitals = np.add.reduceat(np.append(capital, 0).astype(np.int64), starts)
     length = ends - starts
-    glued = np.r_[False, starts[1:] == ends[:-1]]
+    inner = np.ones(len(words), np.bool_)  # not the first word of its row
+    inner[bounds[:-1][np.diff(bounds) > 0]] = False
+    glued = np.r_[False, starts[1:] == ends[:-1]] & inner
     shape = kind[starts].astype(np.uint64) * np.uint64(1000) + np.minimum(capitals, 2).astype(np.uint64) * np.uint64(100) + np.minimum(length, 12).astype(np.uint64) * np.uint64(4) + glued * np.uint64(2)
     symbol = kind[starts] == 3
     shape[symbol] = words[symbol]
-    again = np.r_[False, (words[1:] == words[:-1])]
+    again = np.r_[False, (words[1:] == words[:-1])] & inner
     shape = T.mix64(shape + again.astype(np.uint64))
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     pair = rows[1:] == rows[:-1]
@@ -88,6 +90,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, alpha
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def row_scores(feature: np.ndarray, value: np.ndarray, bounds: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each sparse row; a row is summed by itself, so that equal texts score equally wherever they stand."""
+    products = np.append(weights[feature] * value, 0.0)
+    sums = np.add.reduceat(products, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+    return logistic(np.where(np.diff(bounds) > 0, sums, 0.0) + bias)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -122,8 +131,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
             for start, stop in T.row_chunks(batch.column("text")):
                 part = batch.slice(start, stop - start)
                 f, v, b = grams(part.column("text"), bits)
-                dots = np.concatenate([[0], np.cumsum(weights[f] * v)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(logistic(dots[b[1:]] - dots[b[:-1]] + bias))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(row_scores(f, v, b, weights, bias))], ["doc_id", "score"])
 
     scored = documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -139,7 +147,6 @@ def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, bi
             for start, stop in T.row_chunks(batch.column("text")):
                 part = batch.slice(start, stop - start)
                 f, v, b = grams(part.column("text"), bits)
-                dots = np.concatenate([[0], np.cumsum(weights[f] * v)])
-                yield part.filter(pa.array(logistic(dots[b[1:]] - dots[b[:-1]] + bias) >= threshold))
+                yield part.filter(pa.array(row_scores(f, v, b, weights, bias) >= threshold))
 
     return documents.mapInArrow(keep, documents.schema)

@@ -3,8 +3,8 @@
 A document is its token ids and a closing id. Only a document longer than a sequence is cut, from its end, so
 that just the first piece may be short. Pieces of full length are sequences of their own; all others are
 dealt at random to blocks of about ``BLOCK`` pieces, and each block is packed in one task: best fit of the
-pieces by falling length, then a local search between the underfull bins that moves a piece, exchanges one for one or
-two for one, as long as the sum of squared fills grows, until bins empty. A block wastes less than one
+pieces by falling length, then a local search between all underfull bins that moves a piece, exchanges one for one or
+two for one, as long as that makes the sum of squared fills grow, until bins empty. A block wastes less than one
 bin beyond what its sizes allow, that is a sequence in ten thousand.
 
 Null and empty texts are the closing id alone. Repeated rows are packed each; an empty table gives an empty result.
@@ -27,8 +27,6 @@ from .scratch import written
 
 #: Pieces that one task packs, about.
 BLOCK = 20_000
-#: Local search ends after so many visits to bins without an empty one.
-PATIENCE = 2_000
 _ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
@@ -96,51 +94,65 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], limit: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Empties bins: the emptiest bin gives pieces to fuller ones, or trades for smaller ones, while squared fill grows."""
+def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
+    """Exchanges between underfull bins, each of which raises the sum of squared fills, until none is left.
+
+    A bin takes an item from another one, for nothing (a move), for one of its items or for two, such that its fill grows by as
+    much as its room allows and passes what the other had. Small items so gather in few bins, until those are empty.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < limit), key=lambda b: fill[b])
-    tried = 0
-    while len(open_bins) > 1 and tried < patience:
-        low = open_bins[0]
-        gained = False
-        for b in reversed(open_bins[1:]):
-            tried += 1
-            room = limit - fill[b]
-            if room == 0:
-                continue
-            best = (0, None, ())  # growth of fill[b], the piece to give, those to take
-            for x in bins[low]:
-                if lengths[x] <= room and lengths[x] > best[0]:
-                    best = (lengths[x], x, ())
-                for y in bins[b]:
-                    more = lengths[x] - lengths[y]
-                    if best[0] < more <= room and fill[b] + more > fill[low]:
-                        best = (more, x, (y,))
-            if best[1] is None or best[0] < room:
-                mine = {lengths[x]: x for x in bins[low]}
-                for i, y in enumerate(bins[b]):  # two for one
-                    for z in bins[b][i + 1 :]:
-                        for more in range(room, best[0], -1):
-                            x = mine.get(lengths[y] + lengths[z] + more)
-                            if x is not None:
-                                best = (more, x, (y, z))
-                                break
-            if best[1] is not None:
-                more, x, back = best
-                bins[low].remove(x)
-                bins[b].append(x)
-                for y in back:
-                    bins[b].remove(y)
-                    bins[low].append(y)
+    holders: dict[int, dict[int, list[int]]] = {}  # by length and bin: the items of underfull bins
+
+    def put(b: int, i: int) -> None:
+        holders.setdefault(lengths[i], {}).setdefault(b, []).append(i)
+
+    def take(b: int, i: int) -> None:
+        mine = holders[lengths[i]]
+        mine[b].remove(i)
+        if not mine[b]:
+            del mine[b]
+
+    open_bins = [b for b in range(len(bins)) if fill[b] < limit]
+    for b in open_bins:
+        for i in bins[b]:
+            put(b, i)
+
+    def grown(b: int) -> bool:
+        """One exchange that fills b best, from the emptiest bin that allows it."""
+        room = limit - fill[b]
+        gives: dict[int, tuple[int, ...]] = {}
+        for at, y in enumerate(bins[b]):
+            gives.setdefault(lengths[y], (y,))
+            for z in bins[b][at + 1 :]:
+                gives.setdefault(lengths[y] + lengths[z], (y, z))
+        for more in range(room, 0, -1):
+            for size, back in ((0, ()), *gives.items()):
+                owners = holders.get(size + more)
+                low = min((o for o in owners if o != b and fill[o] < fill[b] + more), key=lambda o: (fill[o], o), default=None) if owners else None
+                if low is None:
+                    continue
+                x = holders[size + more][low][0]
+                for i, source, to in ((x, low, b), *((y, b, low) for y in back)):
+                    take(source, i)
+                    bins[source].remove(i)
+                    bins[to].append(i)
+                    put(to, i)
                 fill[b] += more
                 fill[low] -= more
+                return True
+        return False
+
+    gained = True
+    while gained:  # each exchange raises a bounded sum of integers
+        gained = False
+        for b in sorted(open_bins, key=lambda b: (-fill[b], b)):
+            while bins[b] and fill[b] < limit and grown(b):
                 gained = True
-            if not bins[low] or tried >= patience:
-                break
-        open_bins = sorted((b for b in open_bins if bins[b] and fill[b] < limit and (gained or b != low)), key=lambda b: fill[b])
-        if gained and not bins[low]:
-            tried = 0
+        for b in open_bins:
+            if fill[b] == limit:
+                for i in bins[b]:
+                    take(b, i)
+        open_bins = [b for b in open_bins if bins[b] and fill[b] < limit]
     return [b for b in bins if b]
 
 

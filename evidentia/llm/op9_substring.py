@@ -55,7 +55,7 @@ def windows(column: pa.Array, size: int) -> tuple[np.ndarray, ...]:
     for k in range(1, size - gram + 1):
         np.minimum(core, small[k : k + count], out=core)
     full = T.window_hashes(words, size)
-    more = T.window_hashes(words ^ np.uint64(0x6A09E667F3BCC909), size)
+    more = T.window_hashes(T.word_hashes(data, starts, ends, seed=1), size)
     return rows, at - bounds[rows], core[at], full[at], (more[at] >> np.uint64(32)).astype(np.uint32)
 
 
@@ -231,6 +231,7 @@ def substring_dedup(documents: DataFrame, size: int = 13, bits: int = BITS) -> D
     sketch = spark.sparkContext.broadcast(repeated_cells(source, size, bits))
     slices = 3 * max(tasks(spark), 8)
     found = written(marked.mapInArrow(lambda b: candidates(b, size, bits, sketch, slices), _FOUND), "windows")
+    sketch.destroy()
 
     def exact(table: pa.Table) -> pa.Table:
         docs, marks, blobs = judged([x.as_py() for x in table.column("starts")])

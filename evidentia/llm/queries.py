@@ -74,6 +74,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_RULES = (("a", "base_failed"), ("b", "10 * n_symbols > word_chars"), ("c", "n_dup_lines >= 5"))
+_SUMS = ", ".join(f"sum(CAST({rule} AS DOUBLE)) AS f{k}" for k, rule in _RULES)
+_MOMENTS = ", ".join(f"avg(f{k} / n) AS m{k}, var_pop(f{k} / n) - avg(f{k} / n) * (1 - avg(f{k} / n)) * avg(1.0 / n) AS v{k}" for k, _ in _RULES)
+_PRIORS = ", ".join(f"m{k}, greatest(1.0, CASE WHEN v{k} > 0 THEN m{k} * (1 - m{k}) / v{k} - 1 ELSE size END) AS s{k}" for k, _ in _RULES)
+_OK = " AND ".join(f"(f{k} + m{k} * s{k}) / (n + s{k}) <= least(0.5, m{k} + 3 * sqrt(m{k} * (1 - m{k}) / (s{k} + 1))) + 1e-12" for k, _ in _RULES)
+
 OP2_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text, {WORDS.format('text')} AS w FROM documents),
 lines AS (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
@@ -87,10 +93,10 @@ m AS (SELECT d.doc_id, d.host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
       FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, sum(CAST(base_failed AS DOUBLE)) AS f FROM b GROUP BY host),
-q AS (SELECT avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1.0 / n) AS v, avg(n) AS size FROM h),
-p AS (SELECT m, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE size END) AS s FROM q),
-ok AS (SELECT host, (f + m * s) / (n + s) <= 0.5 AS host_ok FROM h, p)
+h AS (SELECT host, count(*) AS n, {_SUMS} FROM b GROUP BY host),
+q AS (SELECT avg(n) AS size, avg(1.0 / n) AS inv, {_MOMENTS} FROM h),
+p AS (SELECT {_PRIORS} FROM q),
+ok AS (SELECT host, {_OK} AS host_ok FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_ok, true) AS kept
 FROM b LEFT JOIN ok ON b.host IS NOT DISTINCT FROM ok.host
 """

@@ -1,30 +1,12 @@
-"""Intermediate tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-A written table cuts the lineage: a lost executor costs a re-read, not a recomputation. The folder is
-set by this module only where the session names none (tests on one machine).
-"""
+"""Intermediate tables of the corpus operators, in the folder that the session names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from pyspark.sql import SparkSession
 
+from evidentia.sources.scratch import shared_folder, written
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` written as Parquet to a new shared folder and read again."""
-    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+__all__ = ["shared_folder", "tasks", "written"]
 
 
 def tasks(spark: SparkSession) -> int:

@@ -28,10 +28,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _LANES = 64
-_TABLE = mix64(np.arange(1, _LANES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_TABLES: dict[int, np.ndarray] = {}
 _POWERS = mix64(np.arange(1, 33, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
+def _table(seed: int) -> np.ndarray:
+    if seed not in _TABLES:
+        first = np.uint64(seed * _LANES * 256 + 1)
+        _TABLES[seed] = mix64((np.arange(_LANES * 256, dtype=np.uint64) + first) * np.uint64(0x9E3779B97F4A7C15))
+    return _TABLES[seed]
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows (one more than rows)."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -65,8 +72,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit tabulation hash of each word, a pure function of its bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit tabulation hash of each word, a pure function of its bytes; another seed gives an independent one.
+
+    Bytes are looked up by their place in a block of 64, blocks have odd multipliers of their own.
+    """
+    table = _table(seed)
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -75,9 +86,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         heads = np.zeros(j - i, np.int64)
         np.cumsum(lengths[:-1], out=heads[1:])
         place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-        values = _TABLE[(place & (_LANES - 1)) * 256 + data[np.repeat(starts[i:j], lengths) + place]]
+        values = table[(place & (_LANES - 1)) * 256 + data[np.repeat(starts[i:j], lengths) + place]]
         if int(lengths.max()) > _LANES:
-            values *= (2 * (place // _LANES) + 1).astype(np.uint64)
+            blocks = mix64(np.arange(1, int(lengths.max()) // _LANES + 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+            values *= blocks[place // _LANES]
         out[i:j] = np.add.reduceat(values, heads) + lengths.astype(np.uint64) * _POWERS[31]
         i = j
     return mix64(out)
