@@ -11,13 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-FIRST = F.struct("seq", "event_id", "command", "error_kind")
-
 
 def partial_fold(events: DataFrame) -> DataFrame:
     """Sums of one batch; an event that stands in it twice counts once."""
     failed = events.where(F.col("event_type") == "verification.failed").dropDuplicates(["event_id"])
-    return failed.groupBy("project_id", "signature").agg(F.count(F.lit(1)).alias("occurrences"), F.min(FIRST).alias("first"), F.min("recorded_at").alias("first_seen"), F.max("recorded_at").alias("last_seen"))
+    return failed.groupBy("project_id", "signature").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("seq", "event_id", "command", "error_kind")).alias("first"), F.min("recorded_at").alias("first_seen"), F.max("recorded_at").alias("last_seen"))
 
 
 def merged_fold(partials: DataFrame) -> DataFrame:
