@@ -11,6 +11,7 @@ from evidentia.functions import text as T
 from evidentia.operators import journal as J
 from evidentia.operators import memory as M
 from evidentia.operators import preflight as P
+from evidentia.operators import projections as PR
 from evidentia.operators import trust
 from evidentia.plans.queries import FOLD, JOURNAL, MEMORIES, RESOLVED, STOP, query
 from evidentia.sources import jsonl
@@ -409,3 +410,62 @@ def journal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = rows.where(n % 4 <= 1).union(other.where(n % 4 == 2)).union(other.where(n % 12 == 1))
     fresh, conflicts = J.append(rows.where(n % 4 != 1), new)
     return fresh.select("event_id", F.lit("fresh").alias("outcome")).union(conflicts.select("event_id", F.lit("conflict")))
+
+
+LIFE_KINDS = "CASE WHEN event_type = 'fact.observed' AND seq % 5 = 0 THEN 'integration.landed' WHEN event_type = 'fact.observed' AND seq % 50 = 1 THEN 'integration.reverted' WHEN event_type = 'fact.observed' AND seq % 100 = 2 THEN 'branch.rejected' ELSE event_type END"
+
+
+def _life_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, seq = F.col("event_type"), F.col("seq")
+    fact = kind == "fact.observed"
+    kind = F.when(fact & (seq % 5 == 0), "integration.landed").when(fact & (seq % 50 == 1), "integration.reverted").when(fact & (seq % 100 == 2), "branch.rejected").otherwise(kind)
+    rows = journal(spark, sf_dir).withColumn("event_type", kind).withColumn("statement", F.concat(F.lit("Subject "), "subject_key", F.lit(" is "), "statement")).withColumn("target", F.when(seq % 2 == 0, "user").otherwise("run"))
+    return rows.withColumn("reviewer", F.col("agent_profile"))
+
+
+_SUBJECT = f"""array_to_string(list_sort(list_distinct((CASE WHEN len(list_filter(w, lambda x: length(x) > 2)) > 0 THEN list_filter(w, lambda x: length(x) > 2) ELSE w END)[1:24]))[1:8], ' ')"""
+_VERBS = "CASE event_type WHEN 'verification.passed' THEN 'verification passed' WHEN 'verification.failed' THEN 'verification FAILED' WHEN 'attempt.completed' THEN 'attempt completed' WHEN 'review.approved' THEN 'review approved' WHEN 'integration.landed' THEN 'integration landed' ELSE 'integration reverted' END"
+PROJECT_SQL = f"""WITH {JOURNAL}, e2 AS (SELECT * EXCLUDE (event_type, statement), 'Subject ' || subject_key || ' is ' || statement AS statement, {LIFE_KINDS} AS event_type, CASE WHEN seq % 2 = 0 THEN 'user' ELSE 'run' END AS target FROM j),
+b AS (SELECT *, source IN ('kernel', 'human') AS trusted FROM e2),
+p AS (SELECT event_id || ':episodic' AS memory_id, 'episodic' AS memory_type, seq, project_id, task_id, branch, agent_profile AS author, commit_sha, {_VERBS} || ' `' || command || '` by ' || agent_profile || coalesce(' on ' || branch, '') || coalesce(' at ' || commit_sha, '') || '.' AS text,
+    CASE WHEN NOT trusted THEN 'quarantined' WHEN event_type LIKE 'verification.%' THEN 'verified' ELSE 'observed' END AS trust_state, CASE event_type WHEN 'verification.passed' THEN 'passed' WHEN 'verification.failed' THEN 'failed' ELSE 'unknown' END AS verification_state, [] AS w
+  FROM b WHERE event_type NOT IN ('fact.observed', 'branch.rejected')
+  UNION ALL SELECT event_id || ':procedural', 'procedural', seq, project_id, task_id, branch, agent_profile, commit_sha, '`' || command || '` succeeded' || coalesce(' for ' || purpose, '') || coalesce(' on branch ' || branch, '') || '.',
+    CASE WHEN trusted THEN 'verified' ELSE 'quarantined' END, 'passed', list_filter(regexp_extract_all(lower(concat_ws(' ', command, purpose)), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})) FROM b WHERE event_type = 'verification.passed'
+  UNION ALL SELECT event_id || ':semantic', 'semantic', seq, project_id, task_id, branch, agent_profile, commit_sha, statement, CASE WHEN trusted THEN 'observed' ELSE 'quarantined' END, 'unknown',
+    list_filter(regexp_extract_all(lower(statement), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})) FROM b WHERE event_type = 'fact.observed')"""
+
+
+@query(f"{PROJECT_SQL} SELECT memory_id, memory_type, text, trust_state, verification_state, {_SUBJECT} AS subject_key FROM p")
+def project_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.project(_life_events(spark, sf_dir)).select("memory_id", "memory_type", "text", "trust_state", "verification_state", "subject_key")
+
+
+@query(f"""{PROJECT_SQL},
+c AS (SELECT *, memory_type <> 'episodic' AS claim FROM p),
+x AS (SELECT c.memory_id, min(e.seq) AS until FROM c JOIN b e ON e.project_id = c.project_id AND e.seq > c.seq AND (e.event_type = 'integration.reverted' AND c.claim AND (e.task_id = c.task_id OR e.branch = c.branch) OR e.event_type = 'branch.rejected' AND e.branch = c.branch) GROUP BY 1),
+l AS (SELECT c.memory_id, max(e.seq) AS seq FROM c LEFT JOIN x USING (memory_id) JOIN b e ON e.event_type = 'integration.landed' AND c.claim AND e.project_id = c.project_id AND e.seq > c.seq AND e.seq < coalesce(until, 4611686018427387904) AND (e.task_id = c.task_id OR e.branch = c.branch) GROUP BY 1),
+v AS (SELECT c.memory_id, max(e.seq) AS seq FROM c LEFT JOIN x USING (memory_id) JOIN b e ON e.event_type = 'review.approved' AND c.claim AND e.project_id = c.project_id AND e.seq > c.seq AND e.seq < coalesce(until, 4611686018427387904) AND e.task_id = c.task_id GROUP BY 1),
+z AS (SELECT c.*, ex.event_type AS ending, ex.recorded_at AS ended, el.seq AS landed_seq, el.target, el.commit_sha AS landed_sha, el.task_id AS landed_task, ev.seq AS review_seq, ev.agent_profile AS reviewer
+  FROM c LEFT JOIN x USING (memory_id) LEFT JOIN b ex ON ex.seq = x.until LEFT JOIN l USING (memory_id) LEFT JOIN b el ON el.seq = l.seq LEFT JOIN v USING (memory_id) LEFT JOIN b ev ON ev.seq = v.seq),
+y AS (SELECT *, trust_state = 'verified' OR memory_type = 'semantic' AND landed_sha IS NOT NULL AND trust_state <> 'quarantined' AS ok, review_seq IS NOT NULL AND reviewer <> author AS approved FROM z)
+SELECT memory_id, CASE WHEN ending = 'branch.rejected' THEN 'rejected' WHEN ending = 'integration.reverted' THEN 'invalidated' WHEN NOT ok THEN trust_state WHEN NOT approved OR memory_type = 'procedural' AND landed_seq IS NULL THEN 'verified' WHEN landed_sha IS NOT NULL THEN 'integrated' ELSE 'reviewed' END AS trust_state,
+  CASE WHEN review_seq IS NOT NULL THEN 'approved' ELSE 'none' END AS review_state, CASE WHEN ending = 'integration.reverted' THEN 'reverted' WHEN landed_seq IS NULL THEN 'none' WHEN target = 'user' THEN 'accepted_user' ELSE 'integrated_run' END AS integration_state,
+  CASE WHEN landed_seq IS NOT NULL AND (landed_task = task_id OR commit_sha IS NULL) THEN coalesce(landed_sha, commit_sha) ELSE commit_sha END AS commit_sha, ended AS invalid_at FROM y""")
+def record_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = written(_life_events(spark, sf_dir), "events")
+    return PR.lives(PR.project(events), events).select("memory_id", "trust_state", "review_state", "integration_state", "commit_sha", "invalid_at")
+
+
+@query(f"""WITH {JOURNAL}, f AS (SELECT * FROM j WHERE event_type = 'fact.observed')
+SELECT a.event_id AS memory_id, max(b.event_id) AS supersedes_id FROM f a JOIN f b ON a.project_id = b.project_id AND a.subject_key = b.subject_key AND b.seq < a.seq AND a.statement <> b.statement WHERE a.seq % 2 = 0 GROUP BY 1""")
+def fact_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = journal(spark, sf_dir).where("event_type = 'fact.observed'").select(F.col("event_id").alias("memory_id"), "seq", "project_id", "subject_key", "statement", (F.col("seq") % 2 == 0).alias("changes"))
+    return PR.predecessors(facts)
+
+
+@query(f"""WITH {JOURNAL}, f AS (SELECT * FROM j WHERE event_type = 'fact.observed')
+SELECT DISTINCT a.event_id AS memory_id FROM f a JOIN f b ON a.project_id = b.project_id AND a.run_id = b.run_id AND a.branch IS NOT DISTINCT FROM b.branch AND a.subject_key = b.subject_key AND a.statement <> b.statement""")
+def contradicted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = journal(spark, sf_dir).where("event_type = 'fact.observed'").select(F.col("event_id").alias("memory_id"), "project_id", F.col("run_id").alias("repository_id"), "branch", "subject_key", "statement")
+    return PR.contradicted(facts)
