@@ -15,7 +15,7 @@ from evidentia.operators import projections as PR
 from evidentia.operators import trust
 from evidentia.plans.queries import FOLD, JOURNAL, MEMORIES, RESOLVED, STOP, query
 from evidentia.sources import jsonl
-from evidentia.sources.driver_tables import commits, journal, memories, table
+from evidentia.sources.driver_tables import adapted, commits, journal, memories, table
 from evidentia.sources.scratch import shared_folder, written
 from evidentia.streaming import folds
 
@@ -469,3 +469,40 @@ SELECT DISTINCT a.event_id AS memory_id FROM f a JOIN f b ON a.project_id = b.pr
 def contradicted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = journal(spark, sf_dir).where("event_type = 'fact.observed'").select(F.col("event_id").alias("memory_id"), "project_id", F.col("run_id").alias("repository_id"), "branch", "subject_key", "statement")
     return PR.contradicted(facts)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'verification.passed' WHEN 'error' THEN 'verification.failed' ELSE 'attempt.completed' END AS event_type, 'adapter' AS source,
+  CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'quota' WHEN 2 THEN 'ODD' ELSE '' END AS error_kind, CASE WHEN event_id % 3 = 0 THEN 'migration' ELSE 'general' END AS category FROM events""")
+def adapted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    code = F.when(n % 4 == 0, "TIMEOUT").when(n % 4 == 1, "QUOTA_EXHAUSTED").when(n % 4 == 2, "ODD")
+    status = F.when(F.col("event_type") == "purchase", "passed").when(F.col("event_type") == "error", "failed").otherwise("done")
+    rows = table(spark, sf_dir, "events").select("event_id", status.alias("status"), code.alias("error_code"), F.when(n % 3 == 0, "migration").alias("category"))
+    return adapted(rows).select("event_id", "event_type", "source", "error_kind", "category")
+
+
+@query(f"""WITH {JOURNAL}, t AS (SELECT seq, project_id, task_id, event_type, lag(event_type) OVER (PARTITION BY project_id, task_id ORDER BY seq) AS was FROM j WHERE event_type LIKE 'verification.%')
+SELECT seq, project_id, task_id, was AS from_state, event_type AS to_state FROM t WHERE was <> event_type ORDER BY seq DESC LIMIT 100""")
+def newest_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("project_id", "task_id").orderBy("seq")
+    rows = journal(spark, sf_dir).where(F.col("event_type").startswith("verification.")).withColumn("from_state", F.lag("event_type").over(w))
+    return rows.where("from_state <> event_type").orderBy(F.desc("seq")).limit(100).select("seq", "project_id", "task_id", "from_state", F.col("event_type").alias("to_state"))
+
+
+@query(f"""WITH {JOURNAL}, {FOLD} SELECT project_id, signature, occurrences, last_seen FROM f ORDER BY occurrences DESC, last_seen DESC, project_id, signature LIMIT 25""")
+def top_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the failures that recur most."""
+    order = [F.desc("occurrences"), F.desc("last_seen"), F.asc("project_id"), F.asc("signature")]
+    return J.failure_fold(journal(spark, sf_dir)).orderBy(*order).limit(25).select("project_id", "signature", "occurrences", "last_seen")
+
+
+@query(f"""WITH {JOURNAL}, {FOLD}, {RESOLVED}, x AS (SELECT project_id, signature, 1 AS tier, 'resolved' AS state FROM y UNION ALL SELECT project_id, signature, 2, 'repeated' FROM f WHERE occurrences >= 2 UNION ALL SELECT project_id, signature, 3, 'seen' FROM f)
+SELECT project_id, signature, arg_min(state, tier) AS state FROM x GROUP BY ALL""")
+def first_tier_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures by the first tier that holds: resolved, repeated, seen."""
+    rows = written(journal(spark, sf_dir), "journal")
+    folded = J.failure_fold(rows).select("project_id", "signature", "occurrences")
+    tiers = [J.resolutions(rows).select("project_id", "signature", F.lit("resolved").alias("state")), folded.where("occurrences >= 2").select("project_id", "signature", F.lit("repeated").alias("state")), folded.select("project_id", "signature", F.lit("seen").alias("state"))]
+    return M.first_tier(tiers, ["project_id", "signature"])

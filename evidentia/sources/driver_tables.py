@@ -92,3 +92,15 @@ def commits(spark: SparkSession) -> DataFrame:
     """A small history: c1 .. c29 in line, c30 .. c34 a side branch of c10; c35 and later are unknown."""
     line = F.when(F.col("id") == 1, F.lit(None)).when(F.col("id") == 30, F.lit("c10")).otherwise(F.concat(F.lit("c"), F.col("id") - 1))
     return spark.range(1, 35).select(F.concat(F.lit("c"), F.col("id")).alias("child"), line.alias("parent"))
+
+
+# Error codes of a host program and the kinds they are.
+ERROR_KINDS = {"TIMEOUT": "timeout", "VERIFY_FAILED": "test_failure", "POLICY_VIOLATION": "policy_violation", "ADAPTER_ERROR": "adapter_error", "MERGE_CONFLICT": "merge_conflict", "QUOTA_EXHAUSTED": "quota", "CANCELLED": "cancelled"}
+
+
+def adapted(rows: DataFrame) -> DataFrame:
+    """Rows of a host program (``status, error_code, category`` and journal columns) as adapter events; unknown codes stay as they are."""
+    kinds = F.create_map(*(F.lit(x) for pair in ERROR_KINDS.items() for x in pair))
+    code = F.coalesce("error_code", F.lit(""))
+    kind = F.when(F.col("status") == "passed", "verification.passed").when(F.col("status") == "failed", "verification.failed").otherwise("attempt.completed")
+    return rows.withColumns({"event_type": kind, "source": F.lit("adapter"), "error_kind": F.coalesce(F.try_element_at(kinds, code), code), "category": F.coalesce("category", F.lit("general"))}).drop("status", "error_code")
