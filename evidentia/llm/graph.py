@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -25,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large.distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        told = Observation()  # what is written is counted on the way
+        edges = written(small.where("a <> b").distinct().observe(told, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")), "small")
+        now = (told.get["n"], told.get["sum"])
         if now == seen:
             break
         seen = now
