@@ -78,8 +78,8 @@ def failure_signature(command: Column | str, kind: Column | str, error: Column |
 def subject_key(text: Column | str, terms: int = 8) -> Column:
     """The first distinct terms, sorted: lower case, no stopwords, short words only if there are no others."""
     words = F.filter(F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(STOPWORDS))
-    long_words = F.filter(words, lambda w: F.length(w) > 2)
-    chosen = F.when(F.size(long_words) > 0, long_words).otherwise(words)
+    # One-element arrays name the words and the long words, so that neither is made twice.
+    chosen = F.transform(F.array(words), lambda every: F.transform(F.array(F.filter(every, lambda w: F.length(w) > 2)), lambda some: F.when(F.size(some) > 0, some).otherwise(every))[0])[0]
     return F.array_join(F.slice(F.array_sort(F.array_distinct(F.slice(chosen, 1, 3 * terms))), 1, terms), " ")
 
 

@@ -506,3 +506,19 @@ def first_tier_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = J.failure_fold(rows).select("project_id", "signature", "occurrences")
     tiers = [J.resolutions(rows).select("project_id", "signature", F.lit("resolved").alias("state")), folded.where("occurrences >= 2").select("project_id", "signature", F.lit("repeated").alias("state")), folded.select("project_id", "signature", F.lit("seen").alias("state"))]
     return M.first_tier(tiers, ["project_id", "signature"])
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS c FROM v JOIN v q ON q.vec_id % 100 = 7 AND v.vec_id <> q.vec_id AND v.label < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(c, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def authorised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return M.vector_search(rows, rows.where("label < 5"), rows.where("vec_id % 100 = 7"))
+
+
+@query("SELECT doc_id, array_to_string(CASE WHEN doc_id % 3 = 0 THEN [doc_id, 7] WHEN doc_id % 3 = 1 THEN [doc_id, 1, 7] ELSE [doc_id] END, ',') AS ids FROM documents WHERE doc_id NOT IN (1, 7)")
+def ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    more = F.when(i % 3 == 1, F.array(F.lit(1).cast("long"), i, F.lit(1).cast("long")))
+    last = F.when(i % 3 < 2, F.array(F.lit(7).cast("long"), F.lit(None).cast("long"), i))
+    rows = table(spark, sf_dir, "documents").where("doc_id not in (1, 7)")
+    return rows.select("doc_id", F.array_join(M.merged_ids(F.array(i, i), more, last), ",").alias("ids"))
