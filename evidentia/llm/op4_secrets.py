@@ -13,7 +13,9 @@ formats and look-alikes (identifiers, paths, versions, addresses) with a fixed s
 calibrates the scores (logistic scaling) and sets the threshold: one half, or less where that is needed to keep at
 least ``RECALL`` of the held-out secrets.
 
-A null text is empty. Repeated rows give a row each; an empty table gives an empty result.
+A null or empty text has no span. Very long texts are scanned whole, runs of any length window by window. Spans that start
+together stand in the order of the kinds. Repeated rows give a row each; an empty table gives an empty result. ``scan`` ignores further columns,
+``redact`` passes them on, whatever their names.
 """
 
 from __future__ import annotations

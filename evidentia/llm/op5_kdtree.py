@@ -13,7 +13,7 @@ integers (clipped to 64 bits in the result).
 
 Null vectors and vectors with a null or non-finite component take no part, nor do rows without an id; vectors of a
 different length than the query don't meet it. Repeated ids are candidates each by itself, a query never finds rows of
-its own id. An empty table gives an empty result.
+its own id; equal scores go to the smaller id. Long vectors are searched as any. An empty table gives an empty result; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ product of a text's relative gram frequencies with the weights.
 Training takes at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of doc_id. The driver
 gets their features only and holds two vectors of ``2 ** bits`` numbers.
 
-Null and empty texts score as the bias alone; repeated rows give a row each; an empty table gives an empty
-result; without any label every score is 0.5. doc_id, source and lang are no features.
+Null and empty texts score as the bias alone; very long ones count whole, as relative frequencies; equal texts score equally; repeated rows give
+a row each; an empty table gives an empty result; further columns, of any name, are ignored (``accepted`` passes them on); without any label every score is 0.5. doc_id, source and lang are no features.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ The fit takes at most ``TRAIN_ROWS`` texts of each language, those with the smal
 model is languages x ``BUCKETS`` numbers, for every language with a labelled text.
 
 Null texts and texts without letters get ``und`` and score 0; so does everything if nothing was learnt. Ties
-go to the first language in alphabetical order. Repeated rows give a row each, an empty table an empty result.
+go to the first language in alphabetical order. Very long texts count whole. Repeated rows give a row each, an empty table an empty result;
+further columns, of any name, are ignored.
 """
 
 from __future__ import annotations

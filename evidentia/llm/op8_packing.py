@@ -7,7 +7,8 @@ pieces by falling length, then a local search between all underfull bins that mo
 two for one, as long as that makes the sum of squared fills grow, until bins empty. A block wastes less than one
 bin beyond what its sizes allow, that is a sequence in ten thousand.
 
-Null and empty texts are the closing id alone. Repeated rows are packed each; an empty table gives an empty result.
+Null and empty texts are the closing id alone; very long ones are cut whole, none is shortened. Repeated rows are packed each; pieces of
+equal length go by doc_id, piece and checksum; an empty table gives an empty result; further columns, of any name, are ignored.
 The tokenizer file is read on the executors; the driver sees one number.
 """
 
