@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_lines, op2_rules, op3_jaccard, op4_secrets, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe
+from . import op1_lines, op2_rules, op3_jaccard, op4_secrets, op5_kdtree, op6_quality, op7_language, op8_packing, op9_substring, op10_bpe, op11_toxicity, op12_whitening, op13_phrases
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A sum of squares beyond 64 bits is null here; the operator has it as a decimal.
+    return op12_whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 #: Words of a text; the lower-casing of A-Z alone.
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,8 +147,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(c), 0) AS
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP13_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, w[i:i + k - 1] AS p FROM g) GROUP BY lang, p),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) >= 2 AND f >= 30),
+cut AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
+s AS (SELECT cut.lang, cut.p, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.p[1:k] JOIN f y ON y.lang = cut.lang AND y.p = cut.p[k + 1:]),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+part AS (SELECT lang, a, p, unnest(range(2, len(p))) AS k FROM c),
+inside AS (SELECT lang, q, max(a) AS most FROM (SELECT lang, a, p[i:i + k - 1] AS q FROM (SELECT lang, a, p, k, unnest(range(1, len(p) - k + 2)) AS i FROM part)) GROUP BY lang, q),
+kept AS (SELECT m.* FROM m LEFT JOIN inside ON inside.lang = m.lang AND inside.q = m.p WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, array_to_string(p, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_ngram_jaccard, op4_secret_scan, op5_exact_topk, op6_quality_classifier, op7_language_id, op8_best_fit_packing, op9_substring_dedup, op10_byte_bpe)
+    for f in (op1_line_dedup, op2_quality_rules, op3_ngram_jaccard, op4_secret_scan, op5_exact_topk, op6_quality_classifier, op7_language_id, op8_best_fit_packing, op9_substring_dedup, op10_byte_bpe,
+              op11_toxicity_lexicon, op12_embedding_whitening, op13_phrase_mining)
 }
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_exact_topk": OP5_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_exact_topk": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op13_phrase_mining": OP13_SQL}

@@ -89,6 +89,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         values = table[(place & (_LANES - 1)) * 256 + data[np.repeat(starts[i:j], lengths) + place]]
         if int(lengths.max()) > _LANES:
             blocks = mix64(np.arange(1, int(lengths.max()) // _LANES + 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+            blocks[0] = 1  # else short words would hash otherwise where a long one is near
             values *= blocks[place // _LANES]
         out[i:j] = np.add.reduceat(values, heads) + lengths.astype(np.uint64) * _POWERS[31]
         i = j
