@@ -30,8 +30,12 @@ from .scratch import written
 
 #: Cells of the bitmap of frequent words and pairs are 2 ** BITS; RANGE of them travel in a row.
 BITS, RANGE = 28, 1 << 19
-#: Bytes of text whose grams are added up before they leave the task.
-CHUNK = 4 << 20
+#: Bytes of text that are cut into words at once; hashes, and phrases, that a task adds up before they leave it.
+CHUNK, HASHES, HELD = 1 << 20, 1 << 20, 1 << 19
+#: Bits of a hash that are counted: enough to tell words and pairs apart, and fewer bytes to send than all.
+COUNTED = 44
+#: Phrases whose bytes are gathered at once.
+SLICE = 1 << 16
 #: 0: in a word, 1: between words, 2: between pieces.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
@@ -53,14 +57,17 @@ class Words:
         self.starts = np.flatnonzero(inside[1 : n + 1] & (~inside[:n] | first[1 : n + 1]))
         self.ends = np.flatnonzero(inside[1 : n + 1] & (~inside[2 : n + 2] | first[2 : n + 2])) + 1
         self.rows = np.searchsorted(offsets, self.starts, "right") - 1
-        cuts = np.cumsum(kind == 2, dtype=np.int64)
-        self.pieces = (cuts[self.starts] if len(self.starts) else np.zeros(0, np.int64)) + self.rows  # both only grow
+        cuts = np.cumsum(kind == 2, dtype=np.int32)
+        self.pieces = (cuts[self.starts].astype(np.int64) if len(self.starts) else np.zeros(0, np.int64)) + self.rows  # both only grow
 
     def __len__(self) -> int:
         return len(self.starts)
 
     def phrases(self, at: np.ndarray, size: int) -> pa.Array:
-        """The strings of ``size`` words from each word of ``at``, joined by one space."""
+        """The strings of ``size`` words from each word of ``at``, joined by one space; a slice of ``SLICE`` at a time."""
+        return pa.concat_arrays([self._phrases(at[i : i + SLICE], size) for i in range(0, len(at), SLICE)])
+
+    def _phrases(self, at: np.ndarray, size: int) -> pa.Array:
         words = (at[:, None] + np.arange(size)).ravel()
         lengths = self.ends[words] - self.starts[words] + 1
         lengths[size - 1 :: size] -= 1
@@ -98,13 +105,23 @@ def frequent(documents: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
     """The bitmap of words and pairs whose hashes add up to ``least``."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int32))], ["h", "n"])
+
         for words, langs, lang in _chunks(batches):
             single, pair, joined = hashes(words, langs, lang)
-            values, counts = np.unique(np.concatenate([single, pair[joined]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], ["h", "n"])
+            kept += [x >> np.uint64(64 - COUNTED) for x in (single, pair[joined])]
+            if sum(map(len, kept)) > HASHES:
+                yield flush()
+        if kept:
+            yield flush()
 
     counted = documents.mapInArrow(sums, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    cell = F.shiftrightunsigned("h", 64 - bits)
+    cell = F.shiftright("h", COUNTED - bits)
     width = min(RANGE, 1 << bits)
     cells = counted.select(F.floor(cell / width).cast("int").alias("range"), (cell % width).cast("int").alias("cell")).distinct()
 
@@ -131,11 +148,21 @@ def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int
     bitmap = documents.sparkSession.sparkContext.broadcast(frequent(texts, least, bits))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
+        def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in table.combine_chunks().to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_arrays([b.column(c).cast(pa.string()) for c in ("lang", "phrase")] + [b.column("n")], ["lang", "phrase", "n"])
+
         for words, langs, lang in _chunks(batches):
             single, pair, joined = hashes(words, langs, lang)
             pairs = joined & is_set(pair, bitmap.value)
             alive = is_set(single, bitmap.value)
-            parts = []
+            names = langs.cast(pa.large_string())
+            held.append(pa.table({"lang": names, "phrase": pa.array([""] * len(langs), pa.large_string()), "n": np.bincount(lang, minlength=len(langs)).astype(np.int64)}))
             for size in range(1, max_n + 1):
                 if size == 2:
                     alive = pairs
@@ -144,13 +171,15 @@ def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int
                 at = np.flatnonzero(alive)
                 if not len(at):
                     break
-                parts.append(pa.table({"lang": pa.array(lang[at]), "phrase": words.phrases(at, size)}))
-            totals = np.bincount(lang, minlength=len(langs))
-            yield pa.RecordBatch.from_arrays([langs.cast(pa.string()), pa.array([""] * len(langs), pa.string()), pa.array(totals.astype(np.int64))], ["lang", "phrase", "n"])
-            for part in parts:
-                got = part.group_by(["lang", "phrase"]).aggregate([([], "count_all")]).combine_chunks()
-                for b in got.to_batches(max_chunksize=50_000):
-                    yield pa.RecordBatch.from_arrays([langs.take(b.column("lang")).cast(pa.string()), b.column("phrase").cast(pa.string()), b.column("count_all")], ["lang", "phrase", "n"])
+                part = pa.table({"lang": pa.array(lang[at]), "phrase": words.phrases(at, size)}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
+                held.append(pa.table({"lang": names.take(part.column("lang").combine_chunks()), "phrase": part.column("phrase"), "n": part.column("count_all")}))
+            if sum(map(len, held)) > 2 * HELD:
+                held = [added()]
+                if len(held[0]) > HELD:
+                    yield from sent(held[0])
+                    held = []
+        if held:
+            yield from sent(added())
 
     rows = texts.mapInArrow(grams, "lang string, phrase string, n long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))

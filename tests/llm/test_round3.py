@@ -234,7 +234,7 @@ def prose(spark):
         for j in range(0, 80, 9):
             words[j] = "New York City hall"
         texts.append(("  ".join(words), [None, "en", "en", "de"][i % 4]))
-    texts += [(None, "en"), ("", None), (" .,; ", "fr"), ("the " * 30_000, "es"), texts[0], texts[0], ("w" * 100_000 + " v", "en")]
+    texts += [(None, "en"), ("", None), (" .,; ", "fr"), ("the " * 2_000, "es"), texts[0], texts[0], ("w" * 100_000 + " v", "en")]
     return texts, spark.createDataFrame(rows_of(texts), DOCS)
 
 
