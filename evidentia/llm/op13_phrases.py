@@ -120,7 +120,8 @@ def frequent(documents: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
         if kept:
             yield flush()
 
-    counted = documents.mapInArrow(sums, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # Tasks have added up what they can: rows are dealt by key at once, without another map-side sum.
+    counted = documents.mapInArrow(sums, "h long, n int").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     cell = F.shiftright("h", COUNTED - bits)
     width = min(RANGE, 1 << bits)
     cells = counted.select(F.floor(cell / width).cast("int").alias("range"), (cell % width).cast("int").alias("cell")).distinct()
@@ -182,7 +183,7 @@ def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int
             yield from sent(added())
 
     rows = texts.mapInArrow(grams, "lang string, phrase string, n long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def _join(words, start, length):
