@@ -7,9 +7,9 @@ with its one-word extensions drops the candidates that a longer one explains; a
 
 Extensions by one word are enough: if a longer phrase has at least 80 % of a phrase's count, so has every phrase between them.
 
-Phrases that can't reach ``least`` are not written out. A first pass sums hashes of words and word pairs (hashes can only add
-up too much, never too little); cells of frequent ones are set in a bitmap of ``2 ** BITS`` bits (32 MiB), which is broadcast,
-whatever the input. The second pass writes out the grams whose words or pairs are all set, added up by their strings within
+Phrases that can't reach ``least`` are not written out. A first pass sums hashes of words and word pairs, a second one those of three words
+whose pairs are frequent (hashes can only add up too much, never too little); cells of frequent ones are set in a bitmap of ``2 ** BITS`` bits (32 MiB),
+which is broadcast, whatever the input. The third pass writes out the grams all of whose parts are set, added up by their strings within
 a task first. A crowded bitmap only writes out more. The counts themselves are exact: by string, never by hash.
 
 A null lang counts as ``und``, a null or empty text has no words. Repeated rows count each. Very long texts and words count whole;
@@ -31,7 +31,7 @@ from .scratch import written
 #: Cells of the bitmap of frequent words and pairs are 2 ** BITS; RANGE of them travel in a row.
 BITS, RANGE = 28, 1 << 19
 #: Bytes of text that are cut into words at once; hashes, and phrases, that a task adds up before they leave it.
-CHUNK, HASHES, HELD = 1 << 20, 1 << 20, 1 << 19
+CHUNK, HASHES, HELD = 1 << 20, 1 << 21, 1 << 19
 #: Bits of a hash that are counted: enough to tell words and pairs apart, and fewer bytes to send than all.
 COUNTED = 44
 #: Phrases whose bytes are gathered at once.
@@ -92,17 +92,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array
                 yield words, langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)[words.rows]
 
 
-def hashes(words: Words, langs: pa.Array, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its hash, of each word but the last the hash of it and the next, and whether that pair lies in one piece. The lang is hashed in."""
+def hashes(words: Words, langs: pa.Array, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the one, two and three words from each word on, and whether the first two lie in one piece. The lang is hashed in."""
     data, offsets = T.flat_text(langs)
     seeds = T.word_hashes(data, offsets[:-1], offsets[1:], seed=1)[lang]
     single = T.word_hashes(words.data, words.starts, words.ends)
-    pair = T.window_hashes(single, 2) + np.uint64(1)
-    return T.mix64(single ^ seeds), T.mix64(pair ^ seeds[: len(pair)]), words.pieces[1:] == words.pieces[:-1]
+    pair, triple = (T.window_hashes(single, k) + np.uint64(k) for k in (2, 3))
+    return *(T.mix64(x ^ seeds[: len(x)]) for x in (single, pair, triple)), words.pieces[1:] == words.pieces[:-1]
 
 
-def frequent(documents: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
-    """The bitmap of words and pairs whose hashes add up to ``least``."""
+def frequent(documents: DataFrame, least: int, bits: int = BITS, known=None) -> np.ndarray:
+    """The bitmap of words and pairs whose hashes add up to ``least``; with it as ``known``, that of three words whose pairs it has."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -113,8 +113,13 @@ def frequent(documents: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int32))], ["h", "n"])
 
         for words, langs, lang in _chunks(batches):
-            single, pair, joined = hashes(words, langs, lang)
-            kept += [x >> np.uint64(64 - COUNTED) for x in (single, pair[joined])]
+            single, pair, triple, joined = hashes(words, langs, lang)
+            if known is None:
+                parts = (single, pair[joined])
+            else:
+                pairs = joined & is_set(pair, known.value)
+                parts = (triple[pairs[:-1] & pairs[1:]],)
+            kept += [x >> np.uint64(64 - COUNTED) for x in parts]
             if sum(map(len, kept)) > HASHES:
                 yield flush()
         if kept:
@@ -146,7 +151,12 @@ def is_set(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int = BITS) -> DataFrame:
     """``lang, phrase, n`` of all phrases of 1 to ``max_n`` words found ``least`` times; the phrase '' has all words of its lang."""
     texts = documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    bitmap = documents.sparkSession.sparkContext.broadcast(frequent(texts, least, bits))
+    share = documents.sparkSession.sparkContext.broadcast
+    bitmap = share(frequent(texts, least, bits))
+    if max_n > 2:
+        pairs = bitmap
+        bitmap = share(pairs.value | frequent(texts, least, bits, pairs))
+        pairs.unpersist()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -159,7 +169,7 @@ def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int
                 yield pa.RecordBatch.from_arrays([b.column(c).cast(pa.string()) for c in ("lang", "phrase")] + [b.column("n")], ["lang", "phrase", "n"])
 
         for words, langs, lang in _chunks(batches):
-            single, pair, joined = hashes(words, langs, lang)
+            single, pair, triple, joined = hashes(words, langs, lang)
             pairs = joined & is_set(pair, bitmap.value)
             alive = is_set(single, bitmap.value)
             names = langs.cast(pa.large_string())
@@ -167,8 +177,10 @@ def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int
             for size in range(1, max_n + 1):
                 if size == 2:
                     alive = pairs
-                elif size > 2:
-                    alive = alive[:-1] & pairs[size - 2 :]
+                elif size == 3:
+                    alive = triples = pairs[:-1] & pairs[1:] & is_set(triple, bitmap.value)
+                elif size > 3:
+                    alive = alive[:-1] & triples[size - 3 :]
                 at = np.flatnonzero(alive)
                 if not len(at):
                     break
