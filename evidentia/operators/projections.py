@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import subject_key
 from evidentia.operators import trust
+from evidentia.operators.lifecycle import WITHDRAWAL_SOURCES
 
 # Types whose records say something about the code, and the words of an episode.
 CLAIMS = ("semantic", "procedural", "decision")
@@ -84,11 +85,12 @@ def _nearest(rows: DataFrame, events: DataFrame, keys: list[str], at: str, later
 def lives(records: DataFrame, events: DataFrame) -> DataFrame:
     """Records after all later events: ``trust_state, review_state, integration_state, commit_sha, invalid_at``.
 
-    events: ``seq, event_type, project_id, task_id, branch, target, commit_sha, reviewer, recorded_at`` of reviews, landings, reverts and rejected
-    branches. The first withdrawal after a record's birth ends its life: a revert for claims of its task or branch, a rejected branch for every record of it.
+    events: ``seq, event_type, source, project_id, task_id, branch, target, commit_sha, reviewer, recorded_at`` of reviews, landings, reverts and
+    rejected branches; only people and the kernel may reject a branch, other sources' rejections change nothing. The first withdrawal after a record's birth ends its life: a revert for claims of its task or branch, a rejected branch for every record of it.
     Before that, the last landing gives its commit and state; the last review of its task (of its branch, if it names no task) its verdict.
     """
     entry = F.struct("seq", "event_type", "target", "commit_sha", "reviewer", "recorded_at", "task_id")
+    events = events.where((F.col("event_type") != "branch.rejected") | F.col("source").isin(*WITHDRAWAL_SOURCES))
     said = events.select("project_id", "task_id", "branch", "event_type", entry.alias("event"))
     claim = F.col("memory_type").isin(*CLAIMS)
     claims, by_task, by_branch = records.where(claim), ["project_id", "task_id"], ["project_id", "branch"]

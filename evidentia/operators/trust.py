@@ -78,12 +78,13 @@ def _rank(state: Column) -> Column:
     return out
 
 
-def can_promote(target: Column, actor: Column, threshold: float = POISON_THRESHOLD) -> Column:
+def can_promote(target: Column, actor: Column, threshold: float = POISON_THRESHOLD, state: Column | None = None, invalid_at: Column | None = None) -> Column:
     """Decision on ``memory_type, trust_state, integration_state, poisoning_risk, author_agent, command, invalid_at, evidence``.
 
-    The most absolute refusals come first; a climb is one rung at a time.
+    The most absolute refusals come first; a climb is one rung at a time. ``state`` and ``invalid_at`` stand in for the columns, if given.
     """
-    kind, state = F.col("memory_type"), F.col("trust_state")
+    kind, state = F.col("memory_type"), F.col("trust_state") if state is None else state
+    ended = F.col("invalid_at") if invalid_at is None else invalid_at
     goal, at = _rank(target), _rank(state)
     verification = _some(lambda e: e["event_type"].isin(*VERIFICATIONS))
     trusted = _some(lambda e: e["event_type"].isin(*VERIFICATIONS) & e["source"].isin(*TRUSTED_SOURCES))
@@ -93,7 +94,7 @@ def can_promote(target: Column, actor: Column, threshold: float = POISON_THRESHO
     failure = _some(lambda e: e["event_type"].isin(*FAILURES) & e["source"].isin(*TRUSTED_SOURCES))
     approval = _some(lambda e: e["event_type"] == "review.approved")
     other = _some(lambda e: (e["event_type"] == "review.approved") & independent(F.col("author_agent"), e["reviewer"]))
-    fresh = _some(lambda e: e["event_type"].isin(*EVIDENCE_TYPES) & (F.col("invalid_at").isNull() | (e["recorded_at"] > F.col("invalid_at"))))
+    fresh = _some(lambda e: e["event_type"].isin(*EVIDENCE_TYPES) & (ended.isNull() | (e["recorded_at"] > ended)))
     ceiling = F.lit(5)
     for name, top in CEILING.items():
         ceiling = F.when(kind == name, LADDER.index(top) + 1).otherwise(ceiling)
@@ -160,9 +161,9 @@ def evidence_states(evidence: Column) -> tuple[Column, Column]:
     return review, state
 
 
-def can_withdraw(action: str, rule: str) -> Column:
+def can_withdraw(action: str, rule: str, state: Column | None = None) -> Column:
     """Decision on invalidate or reject, by ``trust_state``."""
-    state = F.col("trust_state")
+    state = F.col("trust_state") if state is None else state
     refused = state == "rejected" if action == "reject" else state.isin(*PERMANENT, "invalidated")
     return F.when(refused, _decision("refuse.already_terminal")).otherwise(_decision(rule, True))
 

@@ -9,6 +9,7 @@ from evidentia.functions import records as R
 from evidentia.functions import safety
 from evidentia.functions import text as T
 from evidentia.operators import journal as J
+from evidentia.operators import lifecycle as L
 from evidentia.operators import memory as M
 from evidentia.operators import preflight as P
 from evidentia.operators import projections as PR
@@ -412,6 +413,77 @@ def journal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("event_id", F.lit("fresh").alias("outcome")).union(conflicts.select("event_id", F.lit("conflict")))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten requests a record by rule, and one record that a fiftieth of all requests name."""
+    n = F.col("event_id")
+    k = (n * 31) % 37
+    action = F.when(k == 0, "reject").when(k < 6, "invalidate").when(k == 6, "supersede").when(k == 7, "rename").otherwise("promote")
+    target = F.element_at(F.array(*map(F.lit, ("observed", "verified", "reviewed", "integrated"))), (k % 4 + 1).cast("int"))
+    named = F.when(n % 50 == 3, 7).otherwise(F.floor(n / 10))
+    rows = journal(spark, sf_dir).select(named.alias("memory_id"), "seq", action.alias("action"), target.alias("target"), "source", "recorded_at", n.alias("n"))
+    # Most requests come from the record's own project, some from another one.
+    projects = memories(spark, sf_dir).select("memory_id", "project_id")
+    return rows.join(projects, "memory_id").withColumn("project_id", F.when(F.col("n") % 13 == 0, "elsewhere").otherwise(F.col("project_id"))).drop("n")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, events = _evidence_rows(spark, sf_dir)
+    return L.history(trust.with_evidence(records, events), _requests(spark, sf_dir))
+
+
+HISTORY_SQL = f"""{EVIDENCE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)},
+new_ev AS (SELECT memory_id, max(recorded_at) FILTER (kind LIKE 'verification.%' OR kind IN ('review.approved', 'human.decision', 'integration.landed')) AS newest FROM c GROUP BY 1),
+ask0 AS (SELECT CASE WHEN event_id % 50 = 3 THEN 7 ELSE event_id // 10 END AS memory_id, seq, event_id, source, recorded_at, (event_id * 31) % 37 AS k FROM j),
+ask AS (SELECT ask0.*, CASE WHEN k = 0 THEN 'reject' WHEN k < 6 THEN 'invalidate' WHEN k = 6 THEN 'supersede' WHEN k = 7 THEN 'rename' ELSE 'promote' END AS action, ['observed', 'verified', 'reviewed', 'integrated'][k % 4 + 1] AS goal,
+  row_number() OVER (PARTITION BY memory_id ORDER BY seq) AS nth FROM ask0),
+req AS (SELECT ask.*, x.* EXCLUDE (memory_id, trust_state, goal), rec.trust_state AS start, rec.invalid_at AS ended, newest FROM ask JOIN x USING (memory_id) JOIN rec USING (memory_id) LEFT JOIN new_ev USING (memory_id)),
+step AS (SELECT memory_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS seq, '' AS action, '' AS source, min(recorded_at) AS recorded_at, '' AS from_state, '' AS to_state, '' AS rule, min(start) AS state, min(ended) AS ended FROM req GROUP BY 1
+  UNION ALL
+  SELECT memory_id, nth, seq, action, source, recorded_at, was, asked, rule, CASE WHEN rule LIKE 'refuse.%' THEN was ELSE asked END,
+    CASE WHEN rule LIKE 'refuse.%' OR asked NOT IN ('invalidated', 'superseded', 'rejected') THEN ended ELSE recorded_at END
+  FROM (SELECT memory_id, nth, seq, action, source, recorded_at, was, ended, CASE action WHEN 'reject' THEN 'rejected' WHEN 'invalidate' THEN 'invalidated' WHEN 'supersede' THEN 'superseded' ELSE goal END AS asked,
+    CASE WHEN action = 'rename' THEN 'refuse.unknown_action'
+      WHEN action <> 'promote' AND source NOT IN ('human', 'kernel') THEN 'refuse.withdrawal_source'
+      WHEN action <> 'promote' AND event_id % 13 = 0 THEN 'refuse.withdrawal_foreign_project'
+      WHEN action = 'reject' THEN CASE WHEN was = 'rejected' THEN 'refuse.already_terminal' ELSE 'reject.human_or_kernel' END
+      WHEN action = 'invalidate' THEN CASE WHEN was IN ('rejected', 'superseded', 'invalidated') THEN 'refuse.already_terminal' ELSE 'invalidate.human_or_kernel' END
+      WHEN action = 'supersede' THEN CASE WHEN was IN ('rejected', 'superseded') THEN 'refuse.already_terminal' ELSE 'supersede.replaced_by_newer_record' END
+      WHEN was = 'rejected' THEN 'refuse.rejected_never_promoted' WHEN was = 'superseded' THEN 'refuse.permanent_state'
+      WHEN source = 'agent' THEN 'refuse.agent_cannot_promote'
+      WHEN was = 'invalidated' THEN CASE WHEN newest IS NULL OR newest <= ended THEN 'refuse.no_qualifying_evidence' WHEN goal IN ('reviewed', 'integrated') THEN 'refuse.rung_skipped' ELSE 'revalidate.invalidated.fresh_evidence' END
+      WHEN up <= 0 THEN 'refuse.not_a_promotion' WHEN up > 1 THEN 'refuse.rung_skipped' WHEN poisoning_risk >= 0.5 THEN 'refuse.poisoning_risk'
+      WHEN goal = 'integrated' AND memory_type IN ('episodic', 'performance') THEN 'refuse.type_never_integrated'
+      WHEN NOT landed AND (goal = 'integrated' AND memory_type <> 'decision' OR goal = 'reviewed' AND memory_type NOT IN ('semantic', 'decision')) THEN 'refuse.type_ceiling'
+      WHEN goal = 'observed' THEN CASE WHEN ver IS NOT NULL THEN 'promote.any.evidence_linked' ELSE 'refuse.no_qualifying_evidence' END
+      WHEN memory_type = 'decision' AND human THEN 'promote.decision.human_authority'
+      WHEN goal = 'verified' THEN CASE WHEN memory_type = 'semantic' AND (landed AND landing OR human) THEN 'promote.semantic.landed_or_human_authority' WHEN NOT coalesce(ver, false) THEN 'refuse.no_qualifying_evidence' WHEN NOT trusted THEN 'refuse.source_ceiling'
+        WHEN memory_type = 'procedural' THEN CASE WHEN same THEN 'promote.procedural.verified_by_exact_command' ELSE 'refuse.no_qualifying_evidence' END
+        WHEN memory_type = 'gotcha' THEN CASE WHEN failure THEN 'promote.gotcha.verified_by_failure_evidence' ELSE 'refuse.no_qualifying_evidence' END ELSE 'promote.any.verified_by_evidence' END
+      WHEN goal = 'reviewed' THEN CASE WHEN NOT coalesce(approval, false) THEN 'refuse.no_qualifying_evidence' WHEN NOT other THEN 'refuse.self_review' ELSE 'promote.any.independent_review_approved' END
+      ELSE CASE WHEN landing AND landed THEN 'promote.any.landed_in_history' ELSE 'refuse.not_landed' END END AS rule
+    FROM (SELECT req.* EXCLUDE (ended), step.state AS was, step.ended, list_position(['quarantined', 'observed', 'verified', 'reviewed', 'integrated'], goal) - list_position(['quarantined', 'observed', 'verified', 'reviewed', 'integrated'], step.state) AS up
+          FROM step JOIN req ON req.memory_id = step.memory_id AND req.nth = step.nth + 1)))"""
+
+
+@query(f"{HISTORY_SQL} SELECT memory_id, seq, action, from_state, to_state, rule, source, recorded_at FROM step WHERE nth > 0 AND rule NOT LIKE 'refuse.%'")
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.transitions(_history(spark, sf_dir))
+
+
+@query(f"{HISTORY_SQL} SELECT memory_id, seq, action, from_state, to_state, rule, source, recorded_at FROM step WHERE nth > 0 AND rule LIKE 'refuse.%'")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.refusals(_history(spark, sf_dir))
+
+
+@query(f"""{HISTORY_SQL} SELECT rec.memory_id, coalesce(arg_max(step.state, step.nth), rec.trust_state) AS trust_state, coalesce(arg_max(step.ended, step.nth), rec.invalid_at) AS invalid_at
+FROM rec LEFT JOIN step ON step.memory_id = rec.memory_id GROUP BY rec.memory_id, rec.trust_state, rec.invalid_at""")
+def withdrawals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where all requests leave the records: withdrawn, revalidated, promoted or as they were."""
+    records, events = _evidence_rows(spark, sf_dir)
+    records = trust.with_evidence(records, events)
+    return L.applied(records, L.history(records, _requests(spark, sf_dir))).select("memory_id", "trust_state", "invalid_at")
+
+
 LIFE_KINDS = "CASE WHEN event_type = 'fact.observed' AND seq % 5 = 0 THEN 'integration.landed' WHEN event_type = 'fact.observed' AND seq % 50 = 1 THEN 'integration.reverted' WHEN event_type = 'fact.observed' AND seq % 100 = 2 THEN 'branch.rejected' ELSE event_type END"
 
 
@@ -443,7 +515,7 @@ def project_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{PROJECT_SQL},
 c AS (SELECT *, memory_type <> 'episodic' AS claim FROM p),
-x AS (SELECT c.memory_id, min(e.seq) AS until FROM c JOIN b e ON e.project_id = c.project_id AND e.seq > c.seq AND (e.event_type = 'integration.reverted' AND c.claim AND (e.task_id = c.task_id OR e.branch = c.branch) OR e.event_type = 'branch.rejected' AND e.branch = c.branch) GROUP BY 1),
+x AS (SELECT c.memory_id, min(e.seq) AS until FROM c JOIN b e ON e.project_id = c.project_id AND e.seq > c.seq AND (e.event_type = 'integration.reverted' AND c.claim AND (e.task_id = c.task_id OR e.branch = c.branch) OR e.event_type = 'branch.rejected' AND e.source IN ('human', 'kernel') AND e.branch = c.branch) GROUP BY 1),
 l AS (SELECT c.memory_id, max(e.seq) AS seq FROM c LEFT JOIN x USING (memory_id) JOIN b e ON e.event_type = 'integration.landed' AND c.claim AND e.project_id = c.project_id AND e.seq > c.seq AND e.seq < coalesce(until, 4611686018427387904) AND (e.task_id = c.task_id OR e.branch = c.branch) GROUP BY 1),
 v AS (SELECT c.memory_id, max(e.seq) AS seq FROM c LEFT JOIN x USING (memory_id) JOIN b e ON e.event_type = 'review.approved' AND c.claim AND e.project_id = c.project_id AND e.seq > c.seq AND e.seq < coalesce(until, 4611686018427387904) AND e.task_id = c.task_id GROUP BY 1),
 z AS (SELECT c.*, ex.event_type AS ending, ex.recorded_at AS ended, el.seq AS landed_seq, el.target, el.commit_sha AS landed_sha, el.task_id AS landed_task, ev.seq AS review_seq, ev.agent_profile AS reviewer
