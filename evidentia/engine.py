@@ -4,12 +4,14 @@
     engine.record_verification(command="pytest -q", passed=False, error_kind="timeout", task_id="t1")
     engine.recall("why does pytest time out").show()
 
-Calls that record take one event or a DataFrame of events; a batch is appended whole or not at all. Records are rebuilt from the
-journal when they are asked for, so that nothing derived can disagree with it.
+Calls that record take one event or a DataFrame of events; a batch is published whole or not at all, and chained to the one before
+(``sources.store``). Records are rebuilt from the journal when they are asked for, so that nothing derived can disagree with it; requests upon
+records (promote, reject, invalidate, supersede) are events too, and applied in order (``operators.lifecycle``).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
@@ -19,32 +21,43 @@ from pyspark.sql import functions as F
 from evidentia.functions import ranking, safety
 from evidentia.functions import text as T
 from evidentia.functions.records import redact_json, refusal
-from evidentia.operators import digest, preflight, projections
+from evidentia.operators import digest, lifecycle, preflight, projections, trust
 from evidentia.operators import journal as J
 from evidentia.operators import memory as M
 from evidentia.sources import jsonl
+from evidentia.sources.store import Store
 
 FIELDS = (
     "event_id string, event_type string, source string, project_id string, repository_id string, task_id string, run_id string, attempt_id string, branch string, command string, error_kind string, error string,"
     " purpose string, statement string, resolves_signature string, target string, reviewer string, agent_profile string, adapter string, commit_sha string, ok boolean, recorded_at timestamp_ntz, payload string"
 )
 
+#: Columns of a stored event: what it says, and what is derived from that once.
+STORED = FIELDS + ", content_hash string, signature string, subject_key string"
+NAMES = [f.strip().split(" ")[0] for f in FIELDS.split(",")]
+# Events that ask something of a record, and what.
+REQUESTS = {"human.promotion": "promote", "human.rejection": "reject", "human.invalidation": "invalidate", "fact.changed": "supersede"}
+
+
+def content_hash():
+    """Of all that an event says, but not when: an event sent again is the same one."""
+    return F.sha2(F.to_json(F.struct(*(c for c in NAMES if c != "recorded_at"))), 256)
+
+
+def envelope_hash():
+    return F.sha2(F.concat_ws("|", content_hash(), F.col("recorded_at").cast("string"), F.col("seq").cast("string"), "signature", "subject_key"), 256)
+
 
 class Engine:
     """The calls of one project. Sources are fixed by the call: tools report outcomes, people decide, agents only propose."""
 
     def __init__(self, spark: SparkSession, folder: str, project_id: str, poison_threshold: float = safety.POISON_THRESHOLD) -> None:
         self.spark, self.folder, self.project_id, self.threshold = spark, folder.rstrip("/"), project_id, poison_threshold
+        self.store = Store(spark, self.folder, STORED, envelope_hash)
 
     def journal(self) -> DataFrame:
-        """All events of the project, with ``seq``, payload hash and failure signature."""
-        try:
-            rows = self.spark.read.parquet(f"{self.folder}/journal")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], FIELDS + ", seq long, payload_hash string, signature string, subject_key string")
-        return rows.where(F.col("project_id") == self.project_id)
+        """All events of the project, with ``seq``, hashes and failure signature."""
+        return self.store.read().where(F.col("project_id") == self.project_id)
 
     def record(self, events: DataFrame) -> DataFrame:
         """Appends events: redacted, checked, hashed and numbered. Known equal events are dropped; a conflict or refusal stops the batch."""
@@ -60,24 +73,24 @@ class Engine:
         if bad:
             raise ValueError(f"event refused: {bad[0].why}")
         failed = F.col("event_type").isin(*("verification.failed", "command.failed", "agent.failure_report"))
-        rows = rows.withColumn("payload_hash", F.sha2(F.to_json(F.struct(*(c for c in kinds if c not in ("recorded_at",)))), 256))
+        rows = rows.withColumn("content_hash", content_hash())
         rows = rows.withColumn("signature", F.when(failed, T.failure_signature(F.coalesce("command", F.lit("")), F.coalesce("error_kind", F.lit("")), T.fingerprint(F.coalesce("error", F.lit(""))))))
         rows = rows.withColumn("subject_key", T.subject_key(F.coalesce("statement", F.lit(""))))
-        known = self.journal()
-        fresh = J.append_all(known, rows)
-        head = known.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        seen = self.store.commits()
+        known = self.store.read(seen).select("event_id", F.col("content_hash").alias("payload_hash"))
+        fresh = J.append_all(known, rows.withColumnRenamed("content_hash", "payload_hash")).withColumnRenamed("payload_hash", "content_hash")
+        head = seen[-1]["last_seq"] if seen else 0
         numbered = M.positions(fresh, [F.asc("recorded_at"), F.asc("event_id")]).withColumn("seq", F.col("position") + head).drop("position")
-        numbered.write.mode("append").parquet(f"{self.folder}/journal")
-        return numbered
+        commit = self.store.append(numbered, seen)  # refused if another writer was faster
+        return self.store.read([commit] if commit else [])
 
     def record_event(self, event_type: str, source: str = "kernel", **fields) -> str:
         """Appends one event and returns its id."""
         event = {"event_id": uuid.uuid4().hex, "recorded_at": datetime.now(timezone.utc).replace(tzinfo=None)} | fields | {"event_type": event_type, "source": source, "project_id": self.project_id}
-        names = [f.strip().split(" ")[0] for f in FIELDS.split(",")]
-        unknown = set(event) - set(names)
+        unknown = set(event) - set(NAMES)
         if unknown:
             raise ValueError(f"unknown fields: {sorted(unknown)}")
-        self.record(self.spark.createDataFrame([tuple(event.get(n) for n in names)], FIELDS))
+        self.record(self.spark.createDataFrame([tuple(event.get(n) for n in NAMES)], FIELDS))
         return event["event_id"]
 
     def record_verification(self, command: str, passed: bool, **fields) -> str:
@@ -99,6 +112,25 @@ class Engine:
         """An agent's observation: held back until evidence links it."""
         return self.record_event("agent.observation", "agent", statement=statement, **fields)
 
+    def promote(self, memory_id: str, target: str, actor: str, source: str = "human", **fields) -> str:
+        """Asks for the next rung; whether it is granted is up to the record's evidence: see ``refusals``."""
+        return self._ask("human.promotion", source, {"memory_id": memory_id, "actor": actor}, target=target, **fields)
+
+    def reject(self, memory_id: str, actor: str, reason: str = "", **fields) -> str:
+        """Rejects a record for good; it is kept as an experience."""
+        return self._ask("human.rejection", "human", {"memory_id": memory_id, "actor": actor, "reason": reason}, **fields)
+
+    def invalidate(self, memory_id: str, actor: str = "", reason: str = "", **fields) -> str:
+        """Marks a record as no longer true; newer evidence may bring it back."""
+        return self._ask("human.invalidation", "human", {"memory_id": memory_id, "actor": actor, "reason": reason}, **fields)
+
+    def supersede(self, memory_id: str, statement: str, **fields) -> str:
+        """Replaces a fact by a newer one; both are kept."""
+        return self._ask("fact.changed", "kernel", {"memory_id": memory_id}, statement=statement, **fields)
+
+    def _ask(self, kind: str, source: str, payload: dict, **fields) -> str:
+        return self.record_event(kind, source, payload=json.dumps(payload), **fields)
+
     def reject_branch(self, branch: str, **fields) -> str:
         return self.record_event("branch.rejected", "human", branch=branch, **fields)
 
@@ -109,19 +141,48 @@ class Engine:
         rows = self.journal()
         return J.failure_fold(rows).join(J.resolutions(rows), ["project_id", "signature"], "left")
 
-    def memories(self) -> DataFrame:
-        """Every record of the project with its present state and poisoning risk."""
-        rows = self.journal()
+    def _evidenced(self, rows: DataFrame) -> DataFrame:
+        """Every record as events alone have left it, with its evidence; failures as one record a signature."""
         live = projections.lives(projections.project(rows), rows)
+        said = T.repeated_text(T.gotcha_text(F.coalesce("command", F.lit("")), F.coalesce("error_kind", F.lit("")), F.lit(""), F.coalesce("branch", F.lit(""))), F.col("occurrences"))
+        failed = J.failure_fold(rows).join(rows.select("event_id", "source", "agent_profile", "commit_sha"), F.col("first_event_id") == F.col("event_id"))
+        trusted = F.col("source").isin(*trust.TRUSTED_SOURCES)
+        nothing = F.lit(None).cast("string")
+        gotchas = failed.select(
+            F.concat_ws(":", "signature", F.lit("gotcha")).alias("memory_id"), F.col("first_seq").alias("seq"), "event_id", "project_id", "task_id", "branch", F.col("agent_profile").alias("author_agent"), F.col("first_seen").alias("recorded_at"),
+            F.lit("gotcha").alias("memory_type"), said.alias("text"), F.lit("failed").alias("verification_state"), T.subject_key(F.coalesce("command", F.lit(""))).alias("subject_key"), F.when(trusted, "verified").otherwise("quarantined").alias("trust_state"),
+            F.lit("none").alias("review_state"), F.lit("none").alias("integration_state"), "commit_sha", F.lit(None).cast("timestamp_ntz").alias("invalid_at"),
+        )
+        live = live.unionByName(gotchas.select(live.columns)).join(rows.select("event_id", "command"), "event_id", "left").withColumn("source_event_ids", F.array("event_id"))
         matches = safety.poison_matches(F.col("text"))
         live = live.withColumn("poisoning_matches", matches).withColumn("poisoning_risk", safety.poison_risk(F.col("poisoning_matches")))
         held = F.when((F.col("poisoning_risk") >= self.threshold) & ~F.col("trust_state").isin(*ranking.TERMINAL), "quarantined").otherwise(F.col("trust_state"))
+        return trust.with_evidence(live.withColumn("trust_state", held), rows.withColumn("linked", F.lit(True)))
+
+    def _history(self, rows: DataFrame, records: DataFrame) -> DataFrame:
+        kinds = F.create_map(*(F.lit(x) for pair in REQUESTS.items() for x in pair))
+        asked = rows.withColumns({"memory_id": F.get_json_object("payload", "$.memory_id"), "action": F.try_element_at(kinds, F.col("event_type"))}).where("action is not null and memory_id is not null")
+        return lifecycle.history(records, asked, self.threshold)
+
+    def history(self) -> DataFrame:
+        """What became of every request upon a record, in order: transitions and refusals with their rules."""
+        rows = self.journal()
+        return self._history(rows, self._evidenced(rows)).orderBy("seq")
+
+    def transitions(self) -> DataFrame:
+        return lifecycle.transitions(self.history())
+
+    def refusals(self) -> DataFrame:
+        return lifecycle.refusals(self.history())
+
+    def memories(self) -> DataFrame:
+        """Every record of the project with its present state and poisoning risk."""
+        rows = self.journal()
+        records = self._evidenced(rows)
+        live = lifecycle.applied(records, self._history(rows, records)).drop("evidence", "command")
         age = F.floor((F.unix_micros(F.current_timestamp()) - F.unix_micros(F.col("recorded_at").cast("timestamp"))) / F.lit(86_400_000_000)).cast("long")
-        return (
-            live.withColumn("trust_state", held)
-            .withColumn("scope_level", F.when(F.col("branch").isNull(), "repository").otherwise("branch"))
-            .withColumns({"repository_id": F.lit(None).cast("string"), "run_id": F.lit(None).cast("string"), "access_count": F.lit(0).cast("long"), "age_days": F.greatest(age, F.lit(0))})
-            .withColumn("source_event_ids", F.array("event_id"))
+        return live.withColumn("scope_level", F.when(F.col("branch").isNull(), "repository").otherwise("branch")).withColumns(
+            {"repository_id": F.lit(None).cast("string"), "run_id": F.lit(None).cast("string"), "access_count": F.lit(0).cast("long"), "age_days": F.greatest(age, F.lit(0))}
         )
 
     rebuild = memories
@@ -150,9 +211,8 @@ class Engine:
         return J.project_heads(self.journal())
 
     def audit(self) -> DataFrame:
-        """Broken links and heads of the hash chain."""
-        chain = J.chained(self.journal())
-        return J.audit(chain, J.segment_heads(chain))
+        """Where the stored journal no longer agrees with the hashes that were stored with it: ``batch, problem, n``; no rows if it does."""
+        return self.store.audit()
 
     def export(self, path: str) -> None:
         jsonl.export(jsonl.encoded(self.journal(), "event", "event_id", "project_id", event_type="event_type", command="command", statement="statement", payload="payload"), path)

@@ -171,7 +171,7 @@ def duplicate_payloads(journal: DataFrame) -> DataFrame:
 SEGMENT = 65_536
 
 
-def chained(journal: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def chained(journal: DataFrame, segment: int = SEGMENT, payload: Column | None = None) -> DataFrame:
     """Adds ``segment, payload_hash, prev_hash, event_hash``: hash chains in seq order, one a (project, segment of seq).
 
     Segments are chained side by side and their rows stream in order, so that a task holds one hash, whatever a
@@ -179,7 +179,7 @@ def chained(journal: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """
     import hashlib
 
-    payload = F.sha2(F.concat_ws("|", "event_id", "event_type", "task_id", "command", "statement"), 256)
+    payload = F.sha2(F.concat_ws("|", "event_id", "event_type", "task_id", "command", "statement"), 256) if payload is None else payload
     columns = ["project_id", "seq", "segment", "payload_hash"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +255,16 @@ def audit(chain: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def append(journal: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append, and conflicts (an event_id with two payloads, in the batch or against the journal). Known equal rows are dropped."""
-    known = journal.select("event_id", F.col("payload_hash").alias("known_hash"))
+    """Rows to append, and conflicts (an event_id with two payloads, in the batch or against the journal). Known equal rows are dropped.
+
+    A missing hash is a payload of its own: equal to another missing one alone.
+    """
+    known = journal.select("event_id", F.col("payload_hash").alias("known_hash"), F.lit(True).alias("known"))
     each = new.dropDuplicates(["event_id", "payload_hash"])
     twice = each.groupBy("event_id").agg((F.count(F.lit(1)) > 1).alias("twice"))
     joined = each.join(known, "event_id", "left").join(twice, "event_id")
-    conflict = F.col("twice") | F.coalesce(F.col("known_hash") != F.col("payload_hash"), F.lit(False))
-    return joined.where(~conflict & F.col("known_hash").isNull()).select(new.columns), joined.where(conflict).select(new.columns)
+    conflict = F.col("twice") | (F.col("known").isNotNull() & ~F.col("known_hash").eqNullSafe(F.col("payload_hash")))
+    return joined.where(~conflict & F.col("known").isNull()).select(new.columns), joined.where(conflict).select(new.columns)
 
 
 def append_all(journal: DataFrame, new: DataFrame) -> DataFrame:

@@ -45,9 +45,10 @@ def decision_text(selected: Column, rejected: Column, rationale: Column, authori
 
 
 def project(events: DataFrame) -> DataFrame:
-    """The records that each event makes by itself: episodes, procedures and facts, with the rung that its own evidence allows.
+    """The records that each event makes by itself: episodes, procedures, decisions and facts, with the rung that its own evidence allows.
 
-    events: ``seq, event_id, event_type, source, project_id, task_id, branch, command, purpose, statement, agent_profile, commit_sha, recorded_at``.
+    events: ``seq, event_id, event_type, source, project_id, task_id, branch, command, purpose, statement, agent_profile, commit_sha, recorded_at``, and
+    ``payload`` (a decision's rejected alternatives, rationale and authority) if there is one.
     Failures fold by signature (``journal.failure_fold``), attempts by agent (``journal.performance``).
     """
     kind = F.col("event_type")
@@ -55,15 +56,24 @@ def project(events: DataFrame) -> DataFrame:
     trusted = F.col("source").isin(*trust.TRUSTED_SOURCES)
     said = F.concat_ws(" ", "command", "purpose")
 
-    def entry(test: Column, name: str, text: Column, climbs: Column, verification: Column, subject: Column) -> Column:
-        return F.when(test, F.struct(F.lit(name).alias("memory_type"), text.alias("text"), F.when(climbs & trusted, "verified").otherwise(start).alias("trust_state"), verification.alias("verification_state"), subject.alias("subject_key")))
+    def entry(test: Column, name: str, text: Column, climbs: Column, verification: Column, subject: Column, to: str = "verified") -> Column:
+        return F.when(test, F.struct(F.lit(name).alias("memory_type"), text.alias("text"), F.when(climbs & trusted, to).otherwise(start).alias("trust_state"), verification.alias("verification_state"), subject.alias("subject_key")))
 
     result = F.when(kind.isin(*trust.PASSES), "passed").when(kind.isin(*trust.FAILURES), "failed").otherwise("unknown")
+    payload = F.col("payload") if "payload" in events.columns else F.lit(None).cast("string")
+
+    def field(name: str) -> Column:
+        return F.coalesce(F.trim(F.get_json_object(payload, f"$.{name}")), F.lit(""))
+
+    rejected = F.coalesce(F.from_json(F.get_json_object(payload, "$.rejected"), "array<string>"), F.array().cast("array<string>"))
+    decided = decision_text(F.trim("statement"), rejected, field("rationale"), field("authority"))
     has_command, has_statement = F.coalesce(F.trim("command"), F.lit("")) != "", F.coalesce(F.trim("statement"), F.lit("")) != ""
     made = F.array_compact(
         F.array(
             entry(kind.isin(*EPISODES), "episodic", episode_text(kind), kind.isin(*trust.VERIFICATIONS), result, F.lit("")),
             entry(kind.isin(*trust.PASSES) & has_command, "procedural", procedure_text(), F.lit(True), F.lit("passed"), subject_key(said)),
+            # A person's decision rests on their authority and climbs every rung at once.
+            entry((kind == "human.decision") & has_statement, "decision", decided, F.col("source") == "human", F.lit("unknown"), subject_key(F.col("statement")), "integrated"),
             entry(kind.isin("fact.observed", "fact.changed", "agent.observation") & has_statement, "semantic", F.col("statement"), F.lit(False), F.lit("unknown"), subject_key(F.col("statement"))),
         )
     )

@@ -50,7 +50,7 @@ def test_preflight_blocks_a_known_failure(engine, spark):
 
 
 def test_audit_export_import_status(engine, tmp_path):
-    assert [(r.n, r.broken) for r in engine.audit().collect()] == [(7, 0)]
+    assert engine.audit().collect() == []
     engine.export(str(tmp_path / "lines"))
     assert {r.outcome for r in engine.compare_import(str(tmp_path / "lines")).collect()} == {"duplicate"}
     assert engine.status().first().n_events == 7
