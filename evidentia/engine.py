@@ -5,8 +5,9 @@
     engine.recall("why does pytest time out").show()
 
 Calls that record take one event or a DataFrame of events; a batch is published whole or not at all, and chained to the one before
-(``sources.store``). Records are rebuilt from the journal when they are asked for, so that nothing derived can disagree with it; requests upon
-records (promote, reject, invalidate, supersede) are events too, and applied in order (``operators.lifecycle``).
+(``sources.store``). Records are rebuilt from the journal when they are asked for, once for each head of the journal and kept in the folder until it
+moves on, so that nothing derived can disagree with it; requests upon records (promote, reject, invalidate, supersede) are events too, and applied in
+order (``operators.lifecycle``).
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, project_id: str, poison_threshold: float = safety.POISON_THRESHOLD) -> None:
         self.spark, self.folder, self.project_id, self.threshold = spark, folder.rstrip("/"), project_id, poison_threshold
         self.store = Store(spark, self.folder, STORED, envelope_hash)
+        self._kept: tuple[str, DataFrame] | None = None  # records as of a head of the journal
 
     def journal(self) -> DataFrame:
         """All events of the project, with ``seq``, hashes and failure signature."""
@@ -159,6 +161,23 @@ class Engine:
         held = F.when((F.col("poisoning_risk") >= self.threshold) & ~F.col("trust_state").isin(*ranking.TERMINAL), "quarantined").otherwise(F.col("trust_state"))
         return trust.with_evidence(live.withColumn("trust_state", held), rows.withColumn("linked", F.lit(True)))
 
+    def _told(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The events, the records as events have left them, and what became of the requests upon them."""
+        seen = self.store.commits()
+        rows = self.store.read(seen).where(F.col("project_id") == self.project_id)
+        head = seen[-1]["head"] if seen else ""
+        if self._kept is None or self._kept[0] != head:
+            path = f"{self.folder}/projections/{uuid.uuid4().hex}"
+            records = self._evidenced(rows)
+            records.write.parquet(path)
+            self._kept = head, self.spark.read.schema(records.schema).parquet(path)
+        return rows, self._kept[1], self._history(rows, self._kept[1])
+
+    def drop_projections(self) -> None:
+        """Forgets all derived records; the next call derives them anew."""
+        self._kept = None
+        self.store.delete("projections")
+
     def _history(self, rows: DataFrame, records: DataFrame) -> DataFrame:
         kinds = F.create_map(*(F.lit(x) for pair in REQUESTS.items() for x in pair))
         asked = rows.withColumns({"memory_id": F.get_json_object("payload", "$.memory_id"), "action": F.try_element_at(kinds, F.col("event_type"))}).where("action is not null and memory_id is not null")
@@ -166,8 +185,7 @@ class Engine:
 
     def history(self) -> DataFrame:
         """What became of every request upon a record, in order: transitions and refusals with their rules."""
-        rows = self.journal()
-        return self._history(rows, self._evidenced(rows)).orderBy("seq")
+        return self._told()[2].orderBy("seq")
 
     def transitions(self) -> DataFrame:
         return lifecycle.transitions(self.history())
@@ -177,9 +195,8 @@ class Engine:
 
     def memories(self) -> DataFrame:
         """Every record of the project with its present state and poisoning risk."""
-        rows = self.journal()
-        records = self._evidenced(rows)
-        live = lifecycle.applied(records, self._history(rows, records)).drop("evidence", "command")
+        _, records, told = self._told()
+        live = lifecycle.applied(records, told).drop("evidence", "command")
         age = F.floor((F.unix_micros(F.current_timestamp()) - F.unix_micros(F.col("recorded_at").cast("timestamp"))) / F.lit(86_400_000_000)).cast("long")
         return live.withColumn("scope_level", F.when(F.col("branch").isNull(), "repository").otherwise("branch")).withColumns(
             {"repository_id": F.lit(None).cast("string"), "run_id": F.lit(None).cast("string"), "access_count": F.lit(0).cast("long"), "age_days": F.greatest(age, F.lit(0))}

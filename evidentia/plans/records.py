@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from evidentia.plans.queries import FOLD, JOURNAL, MEMORIES, RESOLVED, STOP, que
 from evidentia.sources import jsonl
 from evidentia.sources.driver_tables import adapted, commits, journal, memories, table
 from evidentia.sources.scratch import shared_folder, written
+from evidentia.sources.store import Store
 from evidentia.streaming import folds
 
 __all__: list[str] = []
@@ -413,6 +416,20 @@ def journal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("event_id", F.lit("fresh").alias("outcome")).union(conflicts.select("event_id", F.lit("conflict")))
 
 
+@query(f"""WITH {JOURNAL}, k AS (SELECT seq, seq // 65536 AS segment, seq % 101 = 7 AS gone, lag(seq % 101 = 7) OVER (PARTITION BY seq // 65536 ORDER BY seq) AS before FROM j),
+f AS (SELECT count(*) FILTER (NOT gone AND seq % 97 = 5) AS payload, count(*) FILTER (gone) AS size, max(seq) - min(seq) + 1 - count(*) FILTER (NOT gone) AS gap, count(*) FILTER (NOT gone AND coalesce(before, false)) + count(DISTINCT segment) FILTER (gone) AS chain FROM k)
+SELECT CAST(1 AS BIGINT) AS batch, problem, CAST(n AS BIGINT) AS n FROM (SELECT unnest(['payload', 'size', 'gap', 'chain']) AS problem, unnest([payload, size, gap, chain]) AS n FROM f) WHERE n > 0""")
+def tampered_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all events in which some statements are changed and some rows are lost, by rule: the faults that its audit finds."""
+    names = ("event_id", "event_type", "task_id", "command", "statement")
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "event_id long, event_type string, task_id string, command string, statement long", lambda: F.sha2(F.to_json(F.struct(*names)), 256))
+    commit = store.append(journal(spark, sf_dir).select(*names, "seq"), [])
+    rows = store.read([commit])
+    changed = F.when(F.col("seq") % 97 == 5, F.coalesce(F.col("statement"), F.lit(0)) + 1).otherwise(F.col("statement"))
+    store.replace(commit, rows.where("seq % 101 <> 7").withColumn("statement", changed))
+    return store.audit()
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten requests a record by rule, and one record that a fiftieth of all requests name."""
     n = F.col("event_id")

@@ -99,6 +99,17 @@ class Store:
         self._publish(commit)
         return commit
 
+    def delete(self, name: str) -> None:
+        """Removes a folder of the store, if it is there."""
+        self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+
+    def replace(self, commit: dict, rows: DataFrame) -> None:
+        """Puts other rows in a batch's place, without its hashes: what an audit is there to find. For tests of a store's audit."""
+        path = f"{self.folder}/{commit['path']}"
+        rows.write.parquet(f"{path}/other")
+        self._fs.delete(self._path(f"{path}/rows"), True)
+        self._fs.rename(self._path(f"{path}/other"), self._path(f"{path}/rows"))
+
     def _own_head(self, path: str) -> str:
         return self.spark.read.parquet(f"{self.folder}/{path}/heads").agg(F.max_by("head", "segment")).first()[0] or ""
 

@@ -158,4 +158,6 @@ def test_decisions_failures_and_requests(spark, tmp_path):
     gotcha = next(r for r in records.values() if r.memory_type == "gotcha")
     assert gotcha.trust_state == "verified" and "pytest -n auto" in gotcha.text
     assert engine.recall("postgres storage").orderBy("rank").first().memory_id == "d1:decision"
+    engine.drop_projections()
+    assert not os.path.exists(f"{engine.folder}/projections") and engine.memories().count() == len(records)
     assert gotcha.memory_id in {r.memory_id for r in engine.recall("pytest auto").collect()}
