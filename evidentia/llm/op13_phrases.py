@@ -8,7 +8,7 @@ with its one-word extensions drops the candidates that a longer one explains; a
 Extensions by one word are enough: if a longer phrase has at least 80 % of a phrase's count, so has every phrase between them.
 
 Phrases that can't reach ``least`` are not written out. A first pass sums hashes of words and word pairs, a second one those of three words
-whose pairs are frequent (hashes can only add up too much, never too little); cells of frequent ones are set in a bitmap of ``2 ** BITS`` bits (32 MiB),
+whose pairs are frequent (hashes can only add up too much, never too little) and marks the words in frequent pairs; cells of frequent ones are set in a bitmap of ``2 ** BITS`` bits (32 MiB),
 which is broadcast, whatever the input. The third pass writes out the grams all of whose parts are set, added up by their strings within
 a task first. A crowded bitmap only writes out more. The counts themselves are exact: by string, never by hash.
 
@@ -102,14 +102,19 @@ def hashes(words: Words, langs: pa.Array, lang: np.ndarray) -> tuple[np.ndarray,
 
 
 def frequent(documents: DataFrame, least: int, bits: int = BITS, known=None) -> np.ndarray:
-    """The bitmap of words and pairs whose hashes add up to ``least``; with it as ``known``, that of three words whose pairs it has."""
+    """The bitmap of words and pairs whose hashes add up to ``least``; with it as ``known``, that of three words whose pairs it has, and of the words in such pairs."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
+        marked: list[np.ndarray] = []  # words that need no count: being in a frequent pair is enough
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(kept), return_counts=True)
+            if marked:
+                words = np.unique(np.concatenate(marked))
+                values, counts = np.concatenate([values, words]), np.concatenate([counts, np.full(len(words), least)])
             kept.clear()
+            marked.clear()
             return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int32))], ["h", "n"])
 
         for words, langs, lang in _chunks(batches):
@@ -119,8 +124,11 @@ def frequent(documents: DataFrame, least: int, bits: int = BITS, known=None) ->
             else:
                 pairs = joined & is_set(pair, known.value)
                 parts = (triple[pairs[:-1] & pairs[1:]],)
+                used = np.append(pairs, False)
+                used[1:] |= pairs
+                marked.append(np.unique(as_part(single[used]) >> np.uint64(64 - COUNTED)))
             kept += [x >> np.uint64(64 - COUNTED) for x in parts]
-            if sum(map(len, kept)) > HASHES:
+            if sum(map(len, kept + marked)) > HASHES:
                 yield flush()
         if kept:
             yield flush()
@@ -142,6 +150,11 @@ def frequent(documents: DataFrame, least: int, bits: int = BITS, known=None) ->
     return out
 
 
+def as_part(single: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words: set for those that stand in a frequent pair."""
+    return T.mix64(single + np.uint64(0x9E3779B97F4A7C15))
+
+
 def is_set(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     bits = int(len(bitmap) * 8).bit_length() - 1
     cell = (values >> np.uint64(64 - bits)).astype(np.int64)
@@ -149,7 +162,10 @@ def is_set(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int = BITS) -> DataFrame:
-    """``lang, phrase, n`` of all phrases of 1 to ``max_n`` words found ``least`` times; the phrase '' has all words of its lang."""
+    """``lang, phrase, n`` of all phrases of 1 to ``max_n`` words found ``least`` times; the phrase '' has all words of its lang.
+
+    Words that stand in no frequent pair are parts of no candidate and may be left out.
+    """
     texts = documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     share = documents.sparkSession.sparkContext.broadcast
     bitmap = share(frequent(texts, least, bits))
@@ -171,7 +187,7 @@ def gram_counts(documents: DataFrame, max_n: int = 4, least: int = 30, bits: int
         for words, langs, lang in _chunks(batches):
             single, pair, triple, joined = hashes(words, langs, lang)
             pairs = joined & is_set(pair, bitmap.value)
-            alive = is_set(single, bitmap.value)
+            alive = is_set(as_part(single) if max_n > 2 else single, bitmap.value)
             names = langs.cast(pa.large_string())
             held.append(pa.table({"lang": names, "phrase": pa.array([""] * len(langs), pa.large_string()), "n": np.bincount(lang, minlength=len(langs)).astype(np.int64)}))
             for size in range(1, max_n + 1):
