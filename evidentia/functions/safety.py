@@ -5,6 +5,8 @@ Every rule is a built-in regular expression, so that a scan of any size stays in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,23 +102,47 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+#: Of each rule in turn, letters of which every match of it holds some; for rules in either case they are lower case.
+GUARDS = (
+    ("sk-ant-",), ("sk-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("glpat-",), ("glcbt-",), ("AIza",), ("xox",), ("xapp-",), ("npm_",), ("pypi-",), ("AKIA", "ASIA"),
+    ("aws_secret_access_key",), ("aws_session_token",), ("accountkey", "sharedaccesssignature"), ("sig=",), ("private",), ("_authtoken",), ("eyJ",), ("authorization",), ("-----BEGIN ",), ("://",),
+    ("password", "passwd", "secret", "token", "credential", *(f"{name}{dash}key" for name in ("api", "auth", "access") for dash in ("", "_", "-"))),
+)
+#: A short form of the longest rule, that holds wherever it matches: a name, and what follows it.
+NAMED = r"(?i)(?:password|passwd|secret|token|credential|key)[\"']?\s*[=:]"
+
+
+def folded(text: Column) -> Column:
+    """A text in lower case; the only other letters that regular expressions take for ASCII ones in either case are set right first."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
 def redact(text: Column) -> Column:
     """``text, families, matches``: the text after all rules in order, which families fired, and how often.
 
-    Each rule sees what the ones before it left, and counts its own hits there.
+    Each rule sees what the ones before it left, and counts its own hits there. A rule runs only on texts that hold its letters; replacements
+    bring in none of them, so that the given text tells.
     """
-    steps = F.struct(text.alias("text"), F.lit(0).alias("matches"), F.array().cast("array<string>").alias("families"))
-    for family, pattern, to in REDACTION_RULES:
-        steps = _stepped(steps, family, pattern, to)
-    return steps
+    start = F.struct(text.alias("text"), F.lit(0).alias("matches"), F.array().cast("array<string>").alias("families"))
+
+    def steps(given: Column) -> Column:
+        state = F.struct(*(given[c].alias(c) for c in ("text", "matches", "families")))
+        for (family, pattern, to), letters in zip(REDACTION_RULES, GUARDS, strict=True):
+            seen = given["low"] if pattern.startswith("(?i)") else given["text"]
+            state = _stepped(state, reduce(lambda a, b: a | b, (F.contains(seen, F.lit(x)) for x in letters)), family, pattern, to)
+        return state
+
+    return F.transform(F.array(start.withField("low", folded(text))), steps)[0]
 
 
-def _stepped(state: Column, family: str, pattern: str, to: str) -> Column:
-    # One element arrays name the state before, which is used three times and made once.
+def _stepped(state: Column, guard: Column, family: str, pattern: str, to: str) -> Column:
+    # One element arrays name the state before, which is used several times and made once.
     def step(s: Column) -> Column:
         hits = F.coalesce(F.regexp_count(s["text"], F.lit(_unicode(pattern))), F.lit(0))
         families = F.when(hits > 0, F.array_union(s["families"], F.array(F.lit(family)))).otherwise(s["families"])
-        return F.struct(F.regexp_replace(s["text"], _unicode(pattern), to).alias("text"), (s["matches"] + hits).alias("matches"), families.alias("families"))
+        hit = F.struct(F.regexp_replace(s["text"], _unicode(pattern), to).alias("text"), (s["matches"] + hits).alias("matches"), families.alias("families"))
+        test = guard & s["text"].rlike(_unicode(NAMED)) if family == "generic" else guard
+        return F.when(test, hit).otherwise(s)
 
     return F.transform(F.array(state), step)[0]
 

@@ -42,6 +42,18 @@ def test_redaction(texts):
     assert got[99].text is None and got[99].matches == 0
 
 
+def test_rules_run_wherever_they_match(spark):
+    """Letters that regular expressions take for equal in either case, and many rules at once: as without looking for letters first."""
+    odd = ["to\u212aen=abcd1234", "pa\u017f\u017fword: hunter22", "credent\u0131al=abcd1234", "CREDENT\u0130AL=abcd1234", "\u00df api-\u212aey = 'abcd1234'", "AUTHORI\u017aATION", "AUTHOR\u0130ZATION: bearer abcdefgh", "Account\u212aey=abc", "?\u017fIG=abc"]
+    said = odd + SECRETS + BENIGN + MIXED + [" ".join(SECRETS + MIXED), "\u0130" * 50 + " Secret\u00a0=\u00a0abcd1234"]
+    plain = F.col("text")
+    for _, pattern, to in safety.REDACTION_RULES:
+        plain = F.regexp_replace(plain, "(?U)" + pattern, to)
+    rows = spark.createDataFrame([(t,) for t in said], "text string").select("text", plain.alias("plain"), safety.redact(F.col("text"))["text"].alias("redacted")).collect()
+    assert [r.redacted for r in rows] == [r.plain for r in rows]
+    assert sum(r.redacted != r.text for r in rows[: len(odd)]) >= 5
+
+
 def test_redacted_text_passes_the_audit(texts):
     rows = texts.where("text is not null").select("i", safety.secret_names(F.col("text")).alias("before"), safety.secret_names(safety.redact(F.col("text"))["text"]).alias("after")).collect()
     assert all(not r.after or r.i >= len(SECRETS) + len(BENIGN) for r in rows)
