@@ -211,8 +211,10 @@ class Engine:
         rows = self.memories()
         truth = F.col("trust_state").isin("integrated") | (F.col("memory_type") != "semantic")
         said = ranking.warnings(truth, F.col("applicability"), F.lit(False), F.lit(True), F.size("poisoning_matches"))
+        landed = F.col("integration_state").isin("integrated_run", "accepted_user")
+        proof = T.provenance_line(F.col("verification_state"), F.lit(None).cast("string"), F.col("review_state"), landed, F.col("commit_sha"), F.lit(1))
         found = self.recall(query, **more).select("memory_id", "applicability", "rank")
-        lines = rows.join(found, "memory_id").select("memory_id", "memory_type", "text", T.trust_label(F.col("trust_state")).alias("label"), F.lit("").alias("provenance"), said.alias("warnings"), "rank")
+        lines = rows.join(found, "memory_id").select("memory_id", "memory_type", "text", T.trust_label(F.col("trust_state")).alias("label"), proof.alias("provenance"), said.alias("warnings"), "rank")
         return digest.compose(lines.orderBy("rank"), budget)
 
     def explain(self, memory_id: str) -> DataFrame:
@@ -252,4 +254,7 @@ def register(spark: SparkSession) -> None:
         return out
 
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_error(text STRING) RETURNS STRING RETURN lower(trim({nested(T.ERROR_RULES)}))")
+    # The same two steps as ``normalize_command``.
+    steps = "trim(regexp_replace(regexp_replace(text, '/(?:private/)?(?:tmp|var/folders)/[^\\\\s]*', '<TMP>'), '\\\\s+', ' '))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_command(text STRING) RETURNS STRING RETURN {steps}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION failure_shape(command STRING, kind STRING, text STRING) RETURNS STRING RETURN concat('cmd=', trim(command), '\\nkind=', kind, '\\nerr=', normalize_error(text))")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import records as R
 from evidentia.functions import safety
 from evidentia.functions import text as T
+from evidentia.operators import digest as D
 from evidentia.operators import journal as J
 from evidentia.operators import lifecycle as L
 from evidentia.operators import memory as M
@@ -611,3 +612,38 @@ def ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(i % 3 < 2, F.array(F.lit(7).cast("long"), F.lit(None).cast("long"), i))
     rows = table(spark, sf_dir, "documents").where("doc_id not in (1, 7)")
     return rows.select("doc_id", F.array_join(M.merged_ids(F.array(i, i), more, last), ",").alias("ids"))
+
+
+DIGEST_BUDGET = 6000
+_SECTION_SQL = "CASE memory_type " + " ".join(f"WHEN '{kind}' THEN {i}" for i, (kind, _) in enumerate(D.SECTIONS)) + " END"
+_HEADS_SQL = "[" + ", ".join(f"'{heading}'" for _, heading in D.SECTIONS) + "]"
+
+
+@query(f"""WITH RECURSIVE {MEMORIES},
+a0 AS (SELECT project_id || ' ' || author_agent AS query_id, memory_id, {_SECTION_SQL} AS sec, text, trust_state, coalesce('landed in ' || commit_sha, '') AS proof,
+  row_number() OVER (PARTITION BY project_id, author_agent ORDER BY age_days, memory_id) AS rk FROM (SELECT m.* REPLACE (coalesce(text, '') AS text) FROM m WHERE project_id IS NOT NULL)),
+a AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY sec, rk) AS nth, row_number() OVER (PARTITION BY query_id, sec, text ORDER BY rk) > 1 AS again,
+  '- [' || CASE trust_state WHEN 'integrated' THEN 'VERIFIED+LANDED' WHEN 'quarantined' THEN 'QUARANTINED/UNTRUSTED' ELSE upper(trust_state) END || '] ' || text || CASE WHEN proof <> '' THEN chr(10) || '  (' || proof || ')' ELSE '' END AS block,
+  CASE trust_state WHEN 'integrated' THEN 0 WHEN 'rejected' THEN 2 WHEN 'quarantined' THEN 4 ELSE 1 END AS tag FROM a0 WHERE rk <= 200),
+step AS (SELECT query_id, CAST(0 AS BIGINT) AS nth, min(n) AS n, -1 AS sec, CAST(59 AS BIGINT) AS used, CAST(0 AS BIGINT) AS size, false AS shut, 0 AS tags, CAST('' AS VARCHAR) AS body, CAST('' AS VARCHAR) AS ids, CAST(0 AS BIGINT) AS included, CAST(0 AS BIGINT) AS duplicates FROM a GROUP BY 1
+  UNION ALL
+  SELECT query_id, nth, n, sec, used, CASE WHEN fits THEN size + length(block) + 2 ELSE size END, shut OR NOT again AND NOT fits, CASE WHEN fits THEN tags | tag ELSE tags END,
+    CASE WHEN fits THEN body || CASE WHEN size = 0 THEN head ELSE chr(10) END || block ELSE body END, CASE WHEN fits THEN ids || ',' || memory_id ELSE ids END, included + fits::BIGINT, duplicates + (again AND NOT shut)::BIGINT
+  FROM (SELECT *, NOT again AND NOT shut AND used + length(head) + size + length(block) + 2 + length(chr(10) || chr(10) || '[' || n || ' further record(s) matched but did not fit the {DIGEST_BUDGET}-character budget.]')
+      + CASE tags | tag WHEN 0 THEN 0 ELSE length(chr(10) || '[warnings: ]') + 2 * (bit_count(tags | tag) - 1) + CASE WHEN (tags | tag) & 1 > 0 THEN 28 ELSE 0 END + CASE WHEN (tags | tag) & 2 > 0 THEN 26 ELSE 0 END + CASE WHEN (tags | tag) & 4 > 0 THEN 26 ELSE 0 END END <= {DIGEST_BUDGET} AS fits
+    FROM (SELECT s.query_id, a.nth, s.n, a.sec, a.memory_id, a.block, a.again, a.tag, chr(10) || chr(10) || '## ' || {_HEADS_SQL}[a.sec + 1] || chr(10) || chr(10) AS head, s.tags, s.body, s.ids, s.included, s.duplicates,
+        CASE WHEN a.sec = s.sec OR s.size = 0 THEN s.used ELSE s.used + s.size + length(chr(10) || chr(10) || '## ' || {_HEADS_SQL}[s.sec + 1] || chr(10) || chr(10)) END AS used, CASE WHEN a.sec = s.sec THEN s.size ELSE 0 END AS size, a.sec = s.sec AND s.shut AS shut
+      FROM step s JOIN a ON a.query_id = s.query_id AND a.nth = s.nth + 1)))
+SELECT query_id, substr(ids, 2) AS included, n - included - duplicates AS omitted, duplicates, sha256('{D.BANNER}' || chr(10) || body || CASE WHEN n - included - duplicates > 0 THEN chr(10) || chr(10) || '[' || (n - included - duplicates) || ' further record(s) matched but did not fit the {DIGEST_BUDGET}-character budget.]' ELSE '' END
+  || CASE WHEN tags > 0 THEN chr(10) || '[warnings: ' || concat_ws('; ', CASE WHEN tags & 1 > 0 THEN 'some records have not landed' END, CASE WHEN tags & 2 > 0 THEN 'some records are withdrawn' END, CASE WHEN tags & 4 > 0 THEN 'some records are untrusted' END) || ']' ELSE '' END) AS text_sha256
+FROM step WHERE nth = n""")
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each agent may be told of each project: its newest records, within a budget."""
+    state = F.col("trust_state")
+    warning = F.when(state == "rejected", "withdrawn").when(state == "quarantined", "QUARANTINED").when(state != "integrated", "NOT established")
+    rows = memories(spark, sf_dir).where("project_id is not null").select(
+        F.concat_ws(" ", "project_id", "author_agent").alias("query_id"), F.col("age_days").alias("rank"), "memory_id", "memory_type", "text", T.trust_label(state).alias("label"),
+        F.coalesce(F.concat(F.lit("landed in "), "commit_sha"), F.lit("")).alias("provenance"), F.array_compact(F.array(warning)).alias("warnings"),
+    )
+    found = D.digests(rows, DIGEST_BUDGET)
+    return found.select("query_id", F.array_join(F.transform("included", lambda x: x.cast("string")), ",").alias("included"), "omitted", "duplicates", F.sha2("text", 256).alias("text_sha256"))

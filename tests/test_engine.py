@@ -71,3 +71,5 @@ def test_registered_functions(spark):
     register(spark)
     assert spark.sql("SELECT normalize_error('took 12 ms at /a/bé/c/d.py line 4') AS x").first().x == "took <dur> at <path>/d.py line <n>"
     assert spark.sql("SELECT failure_shape(' make ', 'e', 'pid 12') AS x").first().x == "cmd=make\nkind=e\nerr=pid <n>"
+    row = spark.sql(r"SELECT normalize_command('  pytest   /tmp/a/b.py -q ') AS c").first()
+    assert row.c == "pytest <TMP> -q"

@@ -222,7 +222,7 @@ def test_digest_never_exceeds_its_budget(spark):
     found = frame.collect()
     full = digest.compose(frame, 4000)
     assert full.omitted == 0 and len(full.included) + full.duplicates == 14 and full.warnings
-    for budget in range(190, 1500, 7):
+    for budget in range(len(digest.BANNER) + 1 + digest.RESERVE, 1500, 7):
         d = digest.compose(Answer(found), budget)
         assert len(d.text) <= budget and d.text.startswith(digest.BANNER)
         assert len(d.included) + d.omitted + d.duplicates == 14 and (d.omitted == 0 or "further record" in d.text)
@@ -230,6 +230,32 @@ def test_digest_never_exceeds_its_budget(spark):
         digest.compose(frame, 50)
 
 
+def test_digests_of_many_queries_equal_each_alone(spark):
+    kinds = ("gotcha", "semantic", "decision", "episodic", "unknown")
+    rows = [(f"q{i % 3}", i // 3, i, kinds[i % 5], None if i == 4 else f"text {i % 7} " + "x" * (i * 13 % 90), "VERIFIED", "", None if i == 5 else ["NOT established"] if i % 2 else [], "x") for i in range(60)]
+    rows += [("hot", 5, 1000 + i, kinds[i % 4], f"t{i}", "OBSERVED", "p", [], "x") for i in range(450)]  # ties by rank
+    frame = spark.createDataFrame(rows, "query_id string, rank int, memory_id int, memory_type string, text string, label string, provenance string, warnings array<string>, nth string")
+    got = {r.query_id: r for r in digest.digests(frame, 900).collect()}
+    assert set(got) == {"q0", "q1", "q2", "hot"}
+    names = ("memory_id", "memory_type", "text", "label", "provenance", "warnings")
+    for name, r in got.items():
+        mine = sorted((x for x in rows if x[0] == name), key=lambda x: (x[1], x[2]))[: digest.ROWS]
+        alone = digest.composed([dict(zip(names, (x[2], x[3], x[4] or "", *x[5:8]))) for x in mine], 900)
+        assert (r.text, r.included, r.omitted, r.duplicates, r.warnings) == (alone.text, alone.included, alone.omitted, alone.duplicates, alone.warnings)
+        assert len(r.text) <= 900 and len(mine) == len(r.included) + r.omitted + r.duplicates
+    assert len([x for x in rows if x[0] == "hot"]) > digest.ROWS and got["hot"].included[0] == 1000
+    assert digest.digests(frame.limit(0), 900).collect() == []
+
+
+def test_vector_queries_of_several_pages(spark):
+    from evidentia.operators import memory as M
+
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7) - 3.0, 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 2 = 1")
+    rows = lambda page: sorted(map(tuple, M.vector_search(vectors, vectors.where("vec_id < 40"), asked, 3, page).collect()))
+    assert rows(7) == rows(1000) and len(rows(7)) == 90 and len({r[0] for r in rows(7)}) == 30
+
+
 def test_stream_equals_rebuild(spark, tmp_path):
     rows = journal(spark, [{"kind": "failed", "command": f"c{i % 3}", "error": f"e{i % 2}"} for i in range(40)])
     late = rows.orderBy(F.desc("seq")).limit(25).union(rows.limit(5))  # out of order, and some again
