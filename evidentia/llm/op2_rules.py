@@ -97,14 +97,15 @@ HOST_RULES = {
 }
 
 
-def host_verdicts(rows: DataFrame, deviations: float = 3.0, host_limit: float = 0.5) -> DataFrame:
+def host_verdicts(rows: DataFrame, deviations: float = 3.0, reach: float = 0.5) -> DataFrame:
     """``host, n_docs`` and, of each rule, ``failed_``, ``rate_`` (posterior mean), ``limit_``; ``host_ok`` if no rate exceeds its limit.
 
     Each rule has its own prior. Its mean m is the mean of the hosts' rates and its strength s = m (1 - m) / v - 1, where v is
     the variance of the rates less the part that sampling explains; without such variance s is the mean
     number of documents of a host (full pooling would forget the host altogether). The limit lies ``deviations`` standard
-    deviations of that beta prior, sqrt(m (1 - m) / (s + 1)), above its mean, so it follows from the hosts themselves; a host that fails mostly (``host_limit``) is
-    too bad whatever the others do.
+    deviations of that beta prior, sqrt(m (1 - m) / (s + 1)), above its mean, but at most
+    ``reach`` of the way from the mean to certain failure (few hosts, one of them bad, make a wide prior). Both are relative to the mean: where every
+    host fails often, none is rejected for that, and its failing documents go by the base rules alone.
     """
     counts = [F.sum(F.expr(rule).cast("long")).alias(f"failed_{name}") for name, rule in HOST_RULES.items()]
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *counts)
@@ -120,7 +121,7 @@ def host_verdicts(rows: DataFrame, deviations: float = 3.0, host_limit: float =
         between = F.col(f"v_{name}") - m * (1 - m) * F.col("inverse")
         s = F.greatest(F.lit(1.0), F.when(between > 0, m * (1 - m) / between - 1).otherwise(F.col("size")))
         rate = (F.col(f"failed_{name}") + m * s) / (F.col("n_docs") + s)
-        limit = F.least(F.lit(host_limit), m + deviations * F.sqrt(m * (1 - m) / (s + 1)))
+        limit = m + F.least(reach * (1 - m), deviations * F.sqrt(m * (1 - m) / (s + 1)))
         joined = joined.withColumn(f"rate_{name}", rate).withColumn(f"limit_{name}", limit)
         ok = ok & (F.col(f"rate_{name}") <= F.col(f"limit_{name}") + 1e-12)
         out += [f"failed_{name}", f"rate_{name}", f"limit_{name}"]

@@ -12,8 +12,9 @@ Scores are exact: products are summed in float64 while they stay below 2**53, el
 integers (clipped to 64 bits in the result).
 
 Null vectors and vectors with a null or non-finite component take no part, nor do rows without an id; vectors of a
-different length than the query don't meet it. Repeated ids are candidates each by itself, a query never finds rows of
-its own id; equal scores go to the smaller id. Long vectors are searched as any. An empty table gives an empty result; further columns, of any name, are ignored.
+different length than the query don't meet it. Rows are told apart by a key of their own: of repeated ids each row is a query and a
+candidate by itself, whatever its vector, and a query finds every row but itself; its answers stand under the shared id, one list a row.
+Equal scores go to the smaller id. Long vectors are searched as any. An empty table gives an empty result; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -69,12 +70,12 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: list[float], k: int) -> list[list[tuple[float, int]]]:
-    """Of each query its (score, id) in this tree that are at least its floor, the k best (ties: smaller ids)."""
+def search(tree: Tree, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, floors: list[float], k: int) -> list[list[tuple[float, int]]]:
+    """Of each query its (score, id) in this tree that are at least its floor, without its own row, the k best (ties: smaller ids)."""
     out = []
     bounds = tree.bounds(queries)
-    sorted_ids = ids[tree.order]
-    for q, qid, floor, bound in zip(queries, query_ids, floors, bounds, strict=True):
+    sorted_ids, sorted_rows = ids[tree.order], rows[tree.order]
+    for q, own, floor, bound in zip(queries, query_rows, floors, bounds, strict=True):
         best: list[tuple[float, int]] = []  # heap of (score, -id): its first is the kth
         nodes = [(-bound[0], 0)]
         while nodes:
@@ -89,7 +90,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarr
             a, b = tree.spans[node]
             scores = tree.sorted[a:b] @ q
             least = max(floor, best[0][0]) if len(best) == k else floor
-            for i in np.flatnonzero((scores >= least) & (sorted_ids[a:b] != qid)).tolist():
+            for i in np.flatnonzero((scores >= least) & (sorted_rows[a:b] != own)).tolist():
                 item = (scores[i], -int(sorted_ids[a + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
@@ -118,6 +119,7 @@ class Shard:
 
     def __init__(self, batches: list[pa.RecordBatch], scale: float) -> None:
         self.ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in batches])
+        self.rows = np.concatenate([b.column("row").to_numpy(zero_copy_only=False) for b in batches])
         self.points = np.concatenate([quantised(b.column("embedding"), scale) for b in batches])
         self.large = _large(self.points)
         self.trees: dict[bool, Tree] = {}
@@ -129,15 +131,16 @@ class Shard:
             self.trees[large] = Tree(_integers(self.points) if large else self.points)
         number = int if large else float
         floors = [-np.inf if x is None else number(x) for x in asked.column("floor").to_pylist()]
-        names = asked.column("id").to_numpy(zero_copy_only=False)
-        found = search(self.trees[large], self.ids, _integers(wanted) if large else wanted, names, floors, k)
-        rows = [(name, i, decimal.Decimal(int(s))) for name, best in zip(names.tolist(), found, strict=True) for s, i in best]
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
+        keys = asked.column("row").to_numpy(zero_copy_only=False)
+        found = search(self.trees[large], self.ids, self.rows, _integers(wanted) if large else wanted, keys, floors, k)
+        names = zip(keys.tolist(), asked.column("id").to_pylist(), strict=True)
+        rows = [(*name, i, decimal.Decimal(int(s))) for name, best in zip(names, found, strict=True) for s, i in best]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.decimal128(38, 0))], ["query_row", "query_id", "vec_id", "score"])
 
 
 def answers(batches: Iterator[pa.RecordBatch], k: int, scale: float, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """``query_id, vec_id, score`` from rows ``shard, dims, asks, id, embedding, floor`` in the order of the first three."""
+    """``query_row, query_id, vec_id, score`` from rows ``shard, dims, asks, id, row, embedding, floor`` in the order of the first three."""
     key, points, shard = None, [], None
     for batch in batches:
         keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("shard", "dims", "asks")])
@@ -163,23 +166,23 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
     usable = usable.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"))
     shards = max(1, -(-usable.count() // shard))
-    number = F.monotonically_increasing_id()
-    dealt = written(usable.withColumn("shard", F.pmod(F.xxhash64("id", number), F.lit(shards)).cast("int")), "vectors")
-    queries = dealt.where(F.col("id") % every == 0).dropDuplicates(["id", "embedding"])
+    usable = usable.withColumn("row", F.monotonically_increasing_id())  # written with the row, so that it stays the same
+    dealt = written(usable.withColumn("shard", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).cast("int")), "vectors")
+    queries = dealt.where(F.col("id") % every == 0)
     queries = queries.withColumn("home", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
     order = ["shard", "dims", "asks"]
-    points = dealt.select("shard", "dims", F.lit(0).alias("asks"), "id", "embedding", F.lit(None).cast("decimal(38,0)").alias("floor"))
+    points = dealt.select("shard", "dims", F.lit(0).alias("asks"), "id", "row", "embedding", F.lit(None).cast("decimal(38,0)").alias("floor"))
 
     def ask(asked: DataFrame) -> DataFrame:
-        asked = asked.select(F.col("to").alias("shard"), "dims", F.lit(1).alias("asks"), "id", "embedding", "floor")
+        asked = asked.select(F.col("to").alias("shard"), "dims", F.lit(1).alias("asks"), "id", "row", "embedding", "floor")
         rows = points.union(asked).repartition(max(shards, tasks(vectors.sparkSession)), "shard").sortWithinPartitions(*order)
-        return rows.mapInArrow(lambda batches: answers(batches, k, scale), "query_id long, vec_id long, score decimal(38,0)")
+        return rows.mapInArrow(lambda batches: answers(batches, k, scale), "query_row long, query_id long, vec_id long, score decimal(38,0)")
 
     first = written(ask(queries.withColumn("to", F.col("home")).withColumn("floor", F.lit(None).cast("decimal(38,0)"))), "first")
-    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    second = ask(queries.join(floors, "id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> home"))
+    floors = first.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    second = ask(queries.join(floors, "row", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> home"))
     # A query has at most k rows of each shard; the ranks are those of its k best.
-    merged = first.union(second).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    merged = first.union(second).groupBy("query_row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     ranked = merged.select("query_id", F.posexplode("best").alias("at", "b"))
     limit = 2**63 - 1
     score = F.least(F.greatest(-F.col("b.s"), F.lit(-limit - 1).cast("decimal(38,0)")), F.lit(limit).cast("decimal(38,0)")).cast("long")

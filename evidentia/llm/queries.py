@@ -91,7 +91,7 @@ _RULES = (("a", "base_failed"), ("b", "10 * n_symbols > word_chars"), ("c", "n_d
 _SUMS = ", ".join(f"sum(CAST({rule} AS DOUBLE)) AS f{k}" for k, rule in _RULES)
 _MOMENTS = ", ".join(f"avg(f{k} / n) AS m{k}, var_pop(f{k} / n) - avg(f{k} / n) * (1 - avg(f{k} / n)) * avg(1.0 / n) AS v{k}" for k, _ in _RULES)
 _PRIORS = ", ".join(f"m{k}, greatest(1.0, CASE WHEN v{k} > 0 THEN m{k} * (1 - m{k}) / v{k} - 1 ELSE size END) AS s{k}" for k, _ in _RULES)
-_OK = " AND ".join(f"(f{k} + m{k} * s{k}) / (n + s{k}) <= least(0.5, m{k} + 3 * sqrt(m{k} * (1 - m{k}) / (s{k} + 1))) + 1e-12" for k, _ in _RULES)
+_OK = " AND ".join(f"(f{k} + m{k} * s{k}) / (n + s{k}) <= m{k} + least(0.5 * (1 - m{k}), 3 * sqrt(m{k} * (1 - m{k}) / (s{k} + 1))) + 1e-12" for k, _ in _RULES)
 
 OP2_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text, {WORDS.format('text')} AS w FROM documents),
@@ -130,9 +130,9 @@ OP5_SQL = """
 WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.rid <> c.rid AND q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20
 """
 

@@ -74,6 +74,15 @@ def test_op2_planted_bad_host(spark):
     assert verdicts["tiny"].rate_base < 0.5 and verdicts["tiny"].host_ok  # shrunk towards the rest
 
 
+def test_op2_hosts_that_all_fail_mostly_keep_their_good_documents(spark):
+    """No host lies above the others, so none is rejected."""
+    rng = random.Random(10)
+    good = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    rows = [(10 * h + i, "short" if i < 7 else good(), f"h{h}") for h in range(20) for i in range(10)]
+    got = op2_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 200 and all(r.kept == (r.doc_id % 10 >= 7) for r in got)
+
+
 def plain_ftrl(rows, bits, alpha, beta, l1, l2, epochs):
     z, n = {}, {}
 

@@ -185,13 +185,25 @@ def test_op5_exact(spark, shard):
     assert op5_kdtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op5_repeated_ids_are_rows_by_themselves(spark):
+    """Each row of a repeated id is asked and found, but by itself."""
+    vectors = [(20, [1.0, 0.0]), (20, [-1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [-2.0, 0.0]), (None, [1.0, 1.0])]
+    for k in (1, 20):
+        got = op5_kdtree.top_k(spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<float>, row string"), k=k, scale=1.0, shard=2).collect()
+        expected = []
+        for q, (name, v) in enumerate(vectors[:3]):
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for c, (i, w) in enumerate(vectors[:5]) if c != q)
+            expected += [(name, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+        assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_op5_queries_stream_in_blocks():
     """A task takes a shard's queries as they come and never holds more than a block of them."""
     rng = np.random.default_rng(5)
 
     def rows(asks, count):
         vectors = [[float(x) for x in rng.integers(-9, 9, 4)] for _ in range(count)]
-        return pa.RecordBatch.from_pydict({"shard": [0] * count, "dims": [4] * count, "asks": [asks] * count, "id": list(range(count)), "embedding": vectors, "floor": pa.array([None] * count, pa.decimal128(38, 0))})
+        return pa.RecordBatch.from_pydict({"shard": [0] * count, "dims": [4] * count, "asks": [asks] * count, "id": list(range(count)), "row": list(range(count)), "embedding": vectors, "floor": pa.array([None] * count, pa.decimal128(38, 0))})
 
     taken = []
 
