@@ -89,14 +89,14 @@ def occurrences(journal: DataFrame) -> DataFrame:
 def resolutions(journal: DataFrame) -> DataFrame:
     """Of each failure signature: the first later success that is linked to it.
 
-    A success that names a signature resolves that one alone. Another resolves the failures of its task (or run, without one)
+    A success that names a signature resolves that one alone; a landing may name one too. Another resolves the failures of its task (or run, without one)
     that failed with its command or declared its purpose. Failures and successes of a key stand in one sequence, whose running
     minimum from the end is the next success, so that a key costs a row an event.
     """
     failures = failure_fold(journal)
     scope = F.coalesce("task_id", "run_id")
     passed = journal.where(F.col("event_type") == "verification.passed")
-    declared = passed.where(F.coalesce(F.trim("resolves_signature"), F.lit("")) != "")
+    declared = journal.where(F.col("event_type").isin("verification.passed", "integration.landed")).where(F.coalesce(F.trim("resolves_signature"), F.lit("")) != "")
     open_ = passed.where(F.coalesce(F.trim("resolves_signature"), F.lit("")) == "").where(scope.isNotNull() & (F.coalesce(F.trim("command"), F.lit("")) != ""))
 
     def keyed(rows: DataFrame, kind: str, key: Column, success: bool) -> DataFrame:
@@ -167,6 +167,20 @@ def duplicate_payloads(journal: DataFrame) -> DataFrame:
     return journal.groupBy("project_id", "event_type", "subject_key", "statement").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: What an event says, without its number and time.
+CONTENT = ("event_type", "source", "task_id", "run_id", "branch", "command", "error_kind", "purpose", "subject_key", "statement")
+
+
+def repeated_payloads(journal: DataFrame, content: tuple[str, ...] = CONTENT) -> DataFrame:
+    """Events of a project that say the same: ``project_id, payload_hash, n, first_seq, last_seq``. A missing field is told from an empty one.
+
+    Only hashes and sequence numbers are shuffled, summed up by each task before that.
+    """
+    fields = F.concat_ws("|", *(F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in content))
+    rows = journal.select("project_id", "seq", F.sha2(fields, 256).alias("payload_hash"))
+    return rows.groupBy("project_id", "payload_hash").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).where("n > 1")
+
+
 #: Sequence numbers of a project that one segment of its chain spans.
 SEGMENT = 65_536
 

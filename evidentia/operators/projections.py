@@ -81,6 +81,11 @@ def project(events: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "event_id", "r.memory_type").alias("memory_id"), *rows.columns[:-1], "r.*")
 
 
+def stats(records: DataFrame) -> DataFrame:
+    """How many records of each type a projection has made, in which state and how many events it took: ``memory_type, trust_state, records, events, last_seq``."""
+    return records.groupBy("memory_type", "trust_state").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("event_id").alias("events"), F.max("seq").alias("last_seq"))
+
+
 def _nearest(rows: DataFrame, events: DataFrame, keys: list[str], at: str, later: bool) -> DataFrame:
     """``memory_id, event``: of each row the first event with its keys after ``at``, or the last one before. An event is a struct that starts with seq."""
     keyed = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
@@ -121,7 +126,7 @@ def lives(records: DataFrame, events: DataFrame) -> DataFrame:
 
     after = lambda c: F.coalesce(F.col(f"{c}.seq") > F.col("seq"), F.lit(False))
     has_landing, has_review = after("landing"), after("review")
-    verdict = F.when(has_review, F.regexp_replace("review.event_type", "^review[.]", "")).otherwise("none")
+    verdict = F.when(~has_review, "none").when(F.col("review.event_type") == "review.approved", "approved").otherwise("rejected")  # requested changes count as such
     landed = F.when(has_landing, F.when(F.col("landing.target") == "user", "accepted_user").otherwise("integrated_run")).otherwise("none")
     reverted, rejected = (F.coalesce(F.col("end.event_type") == k, F.lit(False)) for k in ("integration.reverted", "branch.rejected"))
     # The rungs that the evidence allows, from below; a record held back stays there.

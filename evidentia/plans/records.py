@@ -647,3 +647,16 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = D.digests(rows, DIGEST_BUDGET)
     return found.select("query_id", F.array_join(F.transform("included", lambda x: x.cast("string")), ",").alias("included"), "omitted", "duplicates", F.sha2("text", 256).alias("text_sha256"))
+
+
+_CONTENT_SQL = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in J.CONTENT)
+
+
+@query(f"WITH {JOURNAL} SELECT project_id, sha256({_CONTENT_SQL}) AS payload_hash, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM j GROUP BY ALL HAVING count(*) > 1")
+def repeated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.repeated_payloads(journal(spark, sf_dir))
+
+
+@query(f"{PROJECT_SQL} SELECT memory_type, trust_state, count(*) AS records, count(DISTINCT seq) AS events, max(seq) AS last_seq FROM p GROUP BY ALL")
+def projection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.stats(PR.project(_life_events(spark, sf_dir)))

@@ -85,6 +85,15 @@ def test_an_agents_branch_rejection_changes_nothing(spark):
         assert {r.trust_state for r in PR.lives(PR.project(events), events).collect()} == {state}
 
 
+def test_requested_changes_count_as_a_rejection(spark):
+    schema = "seq long, event_id string, event_type string, source string, project_id string, task_id string, branch string, command string, purpose string, statement string, agent_profile string, commit_sha string, recorded_at timestamp_ntz, target string, reviewer string"
+    passing = (1, "e1", "verification.passed", "kernel", "p", "t", "b", "make", None, None, "a", None, at(1), None, None)
+    for verdict, state in (("approved", "approved"), ("rejected", "rejected"), ("changes_requested", "rejected")):
+        events = spark.createDataFrame([passing, (2, "e2", f"review.{verdict}", "human", "p", "t", "b", None, None, None, None, None, at(2), None, "r")], schema)
+        got = PR.lives(PR.project(events), events).where("event_id = 'e1' and memory_type = 'procedural'").first()
+        assert (got.review_state, got.trust_state) == (state, "verified")
+
+
 @pytest.mark.parametrize("name", ["transitions", "refusals", "withdrawals"])
 def test_equal_to_recursive_sql(spark, name):
     sf = "/root/testdata/sf0.001"

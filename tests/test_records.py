@@ -205,6 +205,22 @@ def test_signatures_identifiers_vectors(spark):
     assert abs(sum(x * x for x in rows[0].v) - 1) < 1e-5 and rows[0].v == rows[0].w and sum(map(abs, rows[1].v)) == 0
 
 
+def test_a_landing_may_declare_what_it_resolves(spark):
+    rows = journal(spark, [{"kind": "failed", "command": "make"}, {"kind": "failed", "command": "lint"}, {"kind": "passed", "command": "other", "task": "u", "resolves": " make/e "}])
+    landed = rows.withColumn("event_type", F.when(F.col("seq") == 3, "integration.landed").otherwise(F.col("event_type")))
+    found = lambda x: {r.signature: r.resolved_by_event for r in J.resolutions(x).collect()}
+    assert found(landed) == found(rows) == {"make/e": 3}
+    assert found(landed.withColumn("resolves_signature", F.lit(""))) == {}  # a landing that names nothing resolves nothing
+
+
+def test_repeated_payloads(spark):
+    said = [(1, "p", "fact", "a", None), (2, "p", "fact", "a", None), (3, "p", "fact", "a", ""), (4, "q", "fact", "a", None), (5, "p", "fac", "ta", None), (6, "p", None, None, None), (9, "p", None, None, None)]
+    rows = spark.createDataFrame(said, "seq long, project_id string, event_type string, command string, branch string")
+    got = {(r.project_id, r.n, r.first_seq, r.last_seq) for r in J.repeated_payloads(rows, ("event_type", "command", "branch")).collect()}
+    assert got == {("p", 2, 1, 2), ("p", 2, 6, 9)}
+    assert J.repeated_payloads(rows.limit(0), ("event_type",)).collect() == []
+
+
 def test_digest_never_exceeds_its_budget(spark):
     rows = [(i, ("gotcha", "semantic", "decision", "episodic")[i % 4], f"text {i % 7} " + "x" * (i * 13 % 90), "VERIFIED", "", ["NOT established project truth"] if i % 3 else []) for i in range(14)]
     frame = spark.createDataFrame(rows, "memory_id int, memory_type string, text string, label string, provenance string, warnings array<string>").coalesce(1)
