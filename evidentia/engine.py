@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import ranking, safety
 from evidentia.functions import text as T
 from evidentia.functions.records import redact_json, refusal
-from evidentia.operators import digest, lifecycle, preflight, projections, trust
+from evidentia.operators import digest, facts, lifecycle, preflight, projections, trust
 from evidentia.operators import journal as J
 from evidentia.operators import memory as M
 from evidentia.sources import jsonl
@@ -145,7 +145,7 @@ class Engine:
 
     def _evidenced(self, rows: DataFrame) -> DataFrame:
         """Every record as events alone have left it, with its evidence; failures as one record a signature."""
-        live = projections.lives(projections.project(rows), rows)
+        live = self._replaced(projections.lives(projections.project(rows), rows), rows)
         said = T.repeated_text(T.gotcha_text(F.coalesce("command", F.lit("")), F.coalesce("error_kind", F.lit("")), F.lit(""), F.coalesce("branch", F.lit(""))), F.col("occurrences"))
         failed = J.failure_fold(rows).join(rows.select("event_id", "source", "agent_profile", "commit_sha"), F.col("first_event_id") == F.col("event_id"))
         trusted = F.col("source").isin(*trust.TRUSTED_SOURCES)
@@ -161,6 +161,29 @@ class Engine:
         held = F.when((F.col("poisoning_risk") >= self.threshold) & ~F.col("trust_state").isin(*ranking.TERMINAL), "quarantined").otherwise(F.col("trust_state"))
         return trust.with_evidence(live.withColumn("trust_state", held), rows.withColumn("linked", F.lit(True)))
 
+    def _replaced(self, live: DataFrame, rows: DataFrame) -> DataFrame:
+        """Records after the facts that changed: the newest current fact on a changed fact's subject that said something else is superseded.
+
+        A change that names the record it replaces (``supersede``) is a request upon that record, which ends there for newer facts.
+        """
+        target = F.get_json_object("payload", "$.memory_id")
+        changed = rows.where("event_type = 'fact.changed'")
+        named = changed.where(target.isNotNull() & F.col("source").isin(*lifecycle.WITHDRAWAL_SOURCES)).groupBy(target.alias("memory_id")).agg(F.min("seq").alias("_named"))
+        said = live.where("memory_type = 'semantic'").join(changed.where(target.isNull()).select("event_id", F.lit(True).alias("changes")), "event_id", "left").join(named, "memory_id", "left")
+        nothing = F.lit(None).cast("string")
+        facts_ = said.select("memory_id", "seq", "project_id", nothing.alias("repository_id"), "branch", "subject_key", F.col("text").alias("statement"), "changes", F.least("invalid_seq", "_named").alias("until"))
+        gone = facts.superseded(facts.arrivals(facts_)).join(rows.select(F.col("seq").alias("superseded_at"), F.col("recorded_at").alias("_at")), "superseded_at").select("memory_id", "_at")
+        ended = F.col("_at").isNotNull()
+        out = live.join(gone, "memory_id", "left").withColumns({"trust_state": F.when(ended, "superseded").otherwise(F.col("trust_state")), "invalid_at": F.when(ended, F.col("_at")).otherwise(F.col("invalid_at"))})
+        return out.select(live.columns).drop("invalid_seq")
+
+    def contradictions(self) -> DataFrame:
+        """Contradictions that are still open between the project's facts: ``project_id, subject_key, memory_id_a, memory_id_b, seq``."""
+        now = self.memories().where("memory_type = 'semantic'").select("memory_id", "seq", "project_id", F.lit(None).cast("string").alias("repository_id"), "branch", "subject_key", F.col("text").alias("statement"), F.lit(False).alias("changes"), F.when(F.col("trust_state").isin(*ranking.TERMINAL), F.col("seq")).alias("until"))
+        # A change replaces; only an observed fact contradicts what it meets.
+        changed = self.journal().where("event_type = 'fact.changed'").select(F.concat_ws(":", "event_id", F.lit("semantic")).alias("memory_id"))
+        return facts.open_contradictions(now, facts.arrivals(now).join(changed, "memory_id", "left_anti"))
+
     def _told(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The events, the records as events have left them, and what became of the requests upon them."""
         seen = self.store.commits()

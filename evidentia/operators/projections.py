@@ -98,7 +98,7 @@ def _nearest(rows: DataFrame, events: DataFrame, keys: list[str], at: str, later
 
 
 def lives(records: DataFrame, events: DataFrame) -> DataFrame:
-    """Records after all later events: ``trust_state, review_state, integration_state, commit_sha, invalid_at``.
+    """Records after all later events: ``trust_state, review_state, integration_state, commit_sha, invalid_at, invalid_seq``.
 
     events: ``seq, event_type, source, project_id, task_id, branch, target, commit_sha, reviewer, recorded_at`` of reviews, landings, reverts and
     rejected branches; only people and the kernel may reject a branch, other sources' rejections change nothing. The first withdrawal after a record's birth ends its life: a revert for claims of its task or branch, a rejected branch for every record of it.
@@ -141,6 +141,7 @@ def lives(records: DataFrame, events: DataFrame) -> DataFrame:
         F.when(reverted, "reverted").otherwise(landed).alias("integration_state"),
         F.when(has_landing & own, F.coalesce("landing.commit_sha", "commit_sha")).otherwise(F.col("commit_sha")).alias("commit_sha"),
         F.col("end.recorded_at").alias("invalid_at"),
+        F.col("end.seq").alias("invalid_seq"),
     )
 
 

@@ -11,6 +11,7 @@ from evidentia.functions import records as R
 from evidentia.functions import safety
 from evidentia.functions import text as T
 from evidentia.operators import digest as D
+from evidentia.operators import facts as FA
 from evidentia.operators import journal as J
 from evidentia.operators import lifecycle as L
 from evidentia.operators import memory as M
@@ -554,6 +555,45 @@ def fact_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.predecessors(facts)
 
 
+# Ten subjects a project, so that a subject has more facts than its window; every other fact changes one. The replay is a recursion over the facts of a subject.
+TIMELINE_SQL = f"""f AS (SELECT event_id AS id, seq, project_id, right(subject_key, 1) AS subject_key, statement, run_id, branch, seq % 2 = 0 AS changes, row_number() OVER (PARTITION BY project_id, right(subject_key, 1) ORDER BY seq) AS rn FROM j WHERE event_type = 'fact.observed'),
+r AS (SELECT project_id, subject_key, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, statement BIGINT, run_id VARCHAR, branch VARCHAR)[]) AS cur, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS old, CAST([] AS BIGINT[]) AS met FROM f GROUP BY ALL
+  UNION ALL
+  SELECT project_id, subject_key, rn, list_concat([x], CASE WHEN old IS NULL THEN cur ELSE list_filter(cur, lambda z: z.id <> old) END)[1:{FA.CANDIDATES}], id, seq, old, met
+  FROM (SELECT r.project_id, r.subject_key, f.rn, r.cur, f.id, f.seq, {{'id': f.id, 'statement': f.statement, 'run_id': f.run_id, 'branch': f.branch}} AS x,
+      CASE WHEN f.changes THEN list_filter(r.cur, lambda z: z.statement <> f.statement)[1].id END AS old,
+      CASE WHEN f.changes THEN CAST([] AS BIGINT[]) ELSE list_transform(list_filter(r.cur, lambda z: z.statement <> f.statement AND z.run_id = f.run_id AND z.branch IS NOT DISTINCT FROM f.branch), lambda z: z.id) END AS met
+    FROM r JOIN f ON f.project_id = r.project_id AND f.subject_key = r.subject_key AND f.rn = r.rn + 1))"""
+_WITH_TIMELINE = f"WITH RECURSIVE {JOURNAL}, {TIMELINE_SQL}"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts on few subjects, and what each met."""
+    rows = journal(spark, sf_dir).where("event_type = 'fact.observed'")
+    facts = rows.select(F.col("event_id").alias("memory_id"), "seq", "project_id", F.col("run_id").alias("repository_id"), "branch", F.substring("subject_key", -1, 1).alias("subject_key"), "statement", (F.col("seq") % 2 == 0).alias("changes"))
+    return facts, written(FA.arrivals(facts), "arrivals")
+
+
+@query(f"{_WITH_TIMELINE} SELECT old AS memory_id, id AS superseded_by, seq AS superseded_at FROM r WHERE old IS NOT NULL")
+def superseded_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FA.superseded(_facts(spark, sf_dir)[1])
+
+
+@query(f"""{_WITH_TIMELINE}, p AS (SELECT project_id, subject_key, id, seq, unnest(met) AS other FROM r), gone AS (SELECT old FROM r WHERE old IS NOT NULL)
+SELECT project_id, subject_key, least(id, other) AS memory_id_a, greatest(id, other) AS memory_id_b, seq FROM p WHERE id NOT IN (SELECT old FROM gone) AND other NOT IN (SELECT old FROM gone)""")
+def open_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FA.open_contradictions(*_facts(spark, sf_dir))
+
+
+@query(f"""{_WITH_TIMELINE}, v AS (SELECT f.project_id, f.subject_key, f.seq, g.seq AS ended FROM f LEFT JOIN r g ON g.old = f.id),
+q AS (SELECT seq, project_id, right(subject_key, 1) AS subject_key FROM j WHERE event_type = 'verification.failed')
+SELECT q.seq, q.project_id, q.subject_key, count(v.seq) AS n_current FROM q LEFT JOIN v ON v.project_id = q.project_id AND v.subject_key = q.subject_key AND v.seq <= q.seq AND (v.ended IS NULL OR v.ended > q.seq) GROUP BY ALL""")
+def facts_at_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many facts on its subject were current when a verification failed."""
+    asked = journal(spark, sf_dir).where("event_type = 'verification.failed'").select("seq", "project_id", F.substring("subject_key", -1, 1).alias("subject_key"))
+    return FA.current_at(FA.validity(*_facts(spark, sf_dir)), asked)
+
+
 @query(f"""WITH {JOURNAL}, f AS (SELECT * FROM j WHERE event_type = 'fact.observed')
 SELECT DISTINCT a.event_id AS memory_id FROM f a JOIN f b ON a.project_id = b.project_id AND a.run_id = b.run_id AND a.branch IS NOT DISTINCT FROM b.branch AND a.subject_key = b.subject_key AND a.statement <> b.statement""")
 def contradicted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

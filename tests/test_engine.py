@@ -1,5 +1,7 @@
 """One project's calls end to end."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,21 @@ def test_batches_are_whole(engine, spark):
         engine.record_event("fact.observed", colour="red")
 
 
+def test_facts_over_time(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), "p")
+    shape = "event_id string, recorded_at timestamp_ntz, event_type string, source string, branch string, statement string"
+    at = lambda i: datetime(2024, 1, 1, i)
+    e.record(spark.createDataFrame([
+        ("a", at(1), "fact.observed", "kernel", "dev", "Port is 80."), ("b", at(2), "fact.observed", "kernel", "dev", "80 is port!"), ("c", at(3), "fact.observed", "kernel", "other", "is port: 80"),
+        ("d", at(4), "fact.changed", "kernel", "dev", "port 80 it is"), ("e", at(5), "fact.observed", "kernel", "dev", "Lint with ruff"), ("f", at(6), "branch.rejected", "human", "other", None), ("g", at(7), "fact.changed", "kernel", "dev", "80 port is, it is"),
+    ], shape))
+    got = {r.memory_id[0]: r for r in e.memories().where("memory_type = 'semantic'").collect()}
+    # d replaces c, the newest; then g replaces d, the newest that is left.
+    assert {k: r.trust_state for k, r in got.items() if r.trust_state != "observed"} == {"c": "superseded", "d": "superseded"} and got["d"].invalid_at == at(7)
+    pairs = {(r.memory_id_a[0], r.memory_id_b[0]) for r in e.contradictions().collect()}
+    assert pairs == {("a", "b")}
+
+
 def test_registered_functions(spark):
     register(spark)
     assert spark.sql("SELECT normalize_error('took 12 ms at /a/bé/c/d.py line 4') AS x").first().x == "took <dur> at <path>/d.py line <n>"
