@@ -18,12 +18,13 @@ from evidentia.operators import memory as M
 from evidentia.operators import preflight as P
 from evidentia.operators import projections as PR
 from evidentia.operators import trust
-from evidentia.plans.queries import FOLD, JOURNAL, MEMORIES, RESOLVED, STOP, query
+from evidentia.plans.queries import FOLD, JOURNAL, MEMORIES, ORACLE_SQL, RESOLVED, STOP, query
 from evidentia.sources import jsonl
 from evidentia.sources.driver_tables import adapted, commits, journal, memories, table
 from evidentia.sources.scratch import shared_folder, written
 from evidentia.sources.store import Store
 from evidentia.streaming import folds
+from evidentia.streaming.projection import Projection
 
 __all__: list[str] = []
 
@@ -555,6 +556,32 @@ def fact_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.predecessors(facts)
 
 
+def _streamed(spark: SparkSession, rows: DataFrame) -> Projection:
+    """Rows streamed in four batches, out of order and some of them twice; the folds of the first run are merged before the second."""
+    projection = Projection(spark, f"{shared_folder(spark)}/projection-{_unique()}")
+    rows = written(rows.union(rows.where("seq % 10 = 3")), "events")
+    for part in range(2):
+        # Two files a run, each a batch; the second run reads the first one's folder again and only finds what is new.
+        rows.where(F.col("seq") % 2 == 1 - part).repartition(2).write.mode("append").parquet(f"{projection.folder}/in")
+        events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{projection.folder}/in")
+        projection.start(events).awaitTermination()
+        projection.compact()
+    return projection
+
+
+@query(ORACLE_SQL["record_lives"])
+def streamed_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, _life_events(spark, sf_dir)).lives().select("memory_id", "trust_state", "review_state", "integration_state", "commit_sha", "invalid_at")
+
+
+@query(f"""WITH {JOURNAL}, a AS (SELECT project_id, agent_profile, adapter, count(*) FILTER (event_type = 'attempt.completed') AS attempts, count(*) FILTER (event_type = 'attempt.completed' AND ok) AS successes,
+  count(*) FILTER (event_type LIKE 'verification.%') AS verifications, count(*) FILTER (event_type = 'review.approved') AS approvals, min(recorded_at) AS first_seen, max(recorded_at) AS last_seen FROM j WHERE event_type <> 'fact.observed' GROUP BY ALL)
+SELECT *, CASE WHEN attempts > 0 THEN round_even(successes / attempts, 4) END AS success_rate FROM a""")
+def streamed_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of batches: an event that comes again changes nothing."""
+    return _streamed(spark, _life_events(spark, sf_dir)).performance()
+
+
 # Ten subjects a project, so that a subject has more facts than its window; every other fact changes one. The replay is a recursion over the facts of a subject.
 TIMELINE_SQL = f"""f AS (SELECT event_id AS id, seq, project_id, right(subject_key, 1) AS subject_key, statement, run_id, branch, seq % 2 = 0 AS changes, row_number() OVER (PARTITION BY project_id, right(subject_key, 1) ORDER BY seq) AS rn FROM j WHERE event_type = 'fact.observed'),
 r AS (SELECT project_id, subject_key, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, statement BIGINT, run_id VARCHAR, branch VARCHAR)[]) AS cur, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS old, CAST([] AS BIGINT[]) AS met FROM f GROUP BY ALL

@@ -7,10 +7,18 @@ dropped, and order inside a batch doesn't matter. Progress is the stream's check
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: State on the executors' disks, with changes alone written to the checkpoint: a batch costs what it holds.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def partial_fold(events: DataFrame) -> DataFrame:
     """Sums of one batch; an event that stands in it twice counts once."""
@@ -23,24 +31,27 @@ def merged_fold(partials: DataFrame) -> DataFrame:
     return rows.select("project_id", "signature", "first.event_id", "first.command", "first.error_kind", "occurrences", "first_seen", "last_seen")
 
 
+def each_once(events: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Starts a stream that gives ``take`` every event once, whatever batch it comes in again: the ids are keyed state, and a batch looks up its own alone."""
+    spark = events.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        writer = events.dropDuplicates(["event_id"]).writeStream.foreachBatch(take).outputMode("append").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:  # a started stream keeps the settings it was started with
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def start_fold(events: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """A query that folds a stream of journal rows; it keeps the events it has seen, so that one sent again counts once."""
+    """A query that folds a stream of journal rows; an event that is sent again counts once."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen_path, path = f"{folder}/seen", f"{folder}/partials"
-        batch = batch.dropDuplicates(["event_id"])
-        try:
-            seen = spark.read.parquet(seen_path).where(F.col("batch") != number).select("event_id")
-            batch = batch.join(seen, "event_id", "left_anti")
-        except Exception as e:  # the first batch: nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        batch.select("event_id").write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
-        partial_fold(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+        partial_fold(batch).write.mode("overwrite").parquet(f"{folder}/partials/batch={number}")
+
+    return each_once(events, fold, checkpoint, once)
 
 
 def folded(spark: SparkSession, folder: str) -> DataFrame:
