@@ -38,6 +38,8 @@ DEPTH = 2
 RANGES = 64
 #: Cores, and windows of the exact pass, that a task gathers before it sends them.
 FLUSH, FLUSH_WINDOWS = 1 << 20, 1 << 18
+#: Bytes of text whose windows are made at once: they take up to sixty times as much memory.
+CHUNK = 1 << 18
 
 
 def windows(column: pa.Array, size: int) -> tuple[np.ndarray, ...]:
@@ -93,7 +95,7 @@ def sketch_parts(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Ite
 
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid()) if batch.column("doc_id").null_count else batch
-        for start, stop in T.row_chunks(batch.column("text")):
+        for start, stop in T.row_chunks(batch.column("text"), CHUNK):
             rows, _, core, _, _ = windows(batch.column("text").slice(start, stop - start), size)
             if len(core):
                 order = np.lexsort((core, rows))
@@ -175,15 +177,15 @@ def candidates(batches: Iterator[pa.RecordBatch], size: int, bits: int, sketch,
         batch = batch.filter(batch.column("doc_id").is_valid()) if batch.column("doc_id").null_count else batch
         docs = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
         marks = batch.column("mark").to_numpy(zero_copy_only=False)
-        for start, stop in T.row_chunks(batch.column("text")):
+        for start, stop in T.row_chunks(batch.column("text"), CHUNK):
             rows, at, core, full, more = windows(batch.column("text").slice(start, stop - start), size)
             use = estimated_repeated(core, sketch.value, bits)
+            if kept and sum(len(x[0]) for x in kept) + int(use.sum()) > FLUSH_WINDOWS:
+                yield flush()
+                kept = []
             if use.any():
                 rows = rows[use] + start
                 kept.append((docs[rows], marks[rows], at[use].astype(np.int64), core[use], full[use], more[use]))
-            if sum(len(x[0]) for x in kept) > FLUSH_WINDOWS:
-                yield flush()
-                kept = []
     if kept:
         yield flush()
 
