@@ -80,7 +80,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, alpha
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for _ in range(epochs):
         for feature, value, label in rows:
-            f, x = np.append(feature, 1 << bits), np.append(value, 1.0)
+            f, x = np.append(feature, 1 << bits), np.append(value.astype(float), 1.0)
             zf, nf = z[f], n[f]
             w = np.where(np.abs(zf) <= l1, 0, -(zf - np.sign(zf) * l1) / ((beta + np.sqrt(nf)) / alpha + l2))
             g = (logistic(float(w @ x)) - label) * x
@@ -115,9 +115,11 @@ def train(documents: DataFrame, labels: DataFrame, bits: int = BITS, train_rows:
                 rows = [(f[i:j].astype(np.int32).tobytes(), v[i:j].astype(np.float32).tobytes()) for i, j in zip(b[:-1], b[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality").cast(pa.int32()), T.blob_array([x for x, _ in rows]), T.blob_array([x for _, x in rows])], ["doc_id", "quality", "f", "v"])
 
-    got = sample.mapInArrow(features, "doc_id long, quality int, f binary, v binary").collect()
-    got.sort(key=lambda r: (int(T.mix64(np.array([r["doc_id"]], np.int64))[0]), bytes(r["f"])))
-    return ftrl([(np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32).astype(float), r["quality"]) for r in got], bits)
+    got = sample.mapInArrow(features, "doc_id long, quality int, f binary, v binary").toArrow()
+    # Views of the received columns: a row has no copy of its features.
+    rows = [(d, np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32), q.as_py()) for d, q, f, v in zip(T.mix64(got.column("doc_id").to_numpy()).tolist(), *(got.column(c) for c in ("quality", "f", "v")), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+    return ftrl([r[1:] for r in rows], bits)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, bits: int = BITS, train_rows: int = TRAIN_ROWS) -> DataFrame:
