@@ -45,3 +45,35 @@ def test_op3_hot_shingles_make_no_objects(spark):
     got = []
     assert peak_mb(lambda: got.append(op3_jaccard.hot_shingles(said))) < 20
     assert (got[0].view(np.int64) == np.arange(-2 * n + 1, -n + 1)).all()
+
+
+def test_op3_a_large_group_of_candidates_travels_a_few_times(spark, monkeypatch):
+    """Sets that are candidates of very many others are sent once a block of their group, not once a pair."""
+    import random
+
+    rng = random.Random(6)
+    kept = {}
+    real = op3_jaccard.written
+    monkeypatch.setattr(op3_jaccard, "written", lambda frame, name: kept.setdefault(name, real(frame, name)))
+    monkeypatch.setattr(op3_jaccard, "SMALL", 16)
+    monkeypatch.setattr(op3_jaccard, "tasks", lambda session: 48)
+    # Each text shares two passages with others: one group, few links.
+    passages = [[f"p{i}x{k}" for k in range(30)] for i in range(24)]
+    rows = []
+    for i in range(240):
+        a, b = rng.sample(range(24), 2)
+        rows.append((i, " ".join(passages[a] + passages[b] + [f"own{i}x{k}" for k in range(2)])))
+    got = {r.doc_id: r.component_id for r in op3_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split() for _, x in rows)]
+    expected = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and expected[i] != expected[j]:
+                low, high = sorted((expected[i], expected[j]))
+                expected = [low if x == high else x for x in expected]
+    assert got == dict(enumerate(expected))
+    owned = kept["owned"]
+    sent = owned.select("cell", "a").union(owned.select("cell", "b")).distinct().count()
+    classes = owned.select("a").union(owned.select("b")).distinct().count()
+    assert owned.count() > 6 * classes > 1000 and sent <= 4 * classes
